@@ -8,7 +8,7 @@ long ones are never merged, only probed: each pair that reached C looks its rema
 partner's sorted word list, and pairs that reach the required overlap are kept. Both sides divide their
 lists in one global order (list length, then word), which makes the merge of short lists complete.
 
-List lengths come from all records, counted in a table of fixed size (``BUCKETS`` hash buckets), so what is
+List lengths come from all classes of records, counted in a table of fixed size (``BUCKETS`` hash buckets), so what is
 broadcast does not grow with the data. Records with the same words form one class, and classes are joined,
 so a statement stored a million times costs one record. A long list that many records need after all is
 an ordinary skewed join key, which Spark splits at run time. Nothing is capped.
@@ -57,9 +57,9 @@ def classes(recs: DataFrame, min_words: int) -> DataFrame:
     return recs.where(F.size("words") >= min_words).groupBy(identity().alias("k")).agg(F.min(F.struct("id", "words")).alias("m")).select(F.col("m.id").alias("class_id"), F.col("m.words").alias("words"))
 
 
-def list_lengths(recs: DataFrame) -> np.ndarray:
+def list_lengths(cls: DataFrame) -> np.ndarray:
     """Upper bounds of the inverted lists' lengths, per hash bucket; ``BUCKETS`` numbers whatever the data."""
-    counted = recs.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).count().collect()
+    counted = cls.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).count().collect()
     out = np.zeros(BUCKETS, dtype=np.int64)
     for row in counted:
         out[row["b"]] = row["count"]
@@ -67,9 +67,10 @@ def list_lengths(recs: DataFrame) -> np.ndarray:
 
 
 def short_lists(cls: DataFrame, lengths: np.ndarray, per_mille: int, c: int) -> DataFrame:
-    """Postings (word, class_id, size) of each class in its short lists: its n - T + C rarest words."""
+    """Postings (word, class_id, size, bits) of each class in its short lists: its n - T + C rarest words.
+    ``bits`` has one of 64 bits set for each word of the class."""
     shared = cls.sparkSession.sparkContext.broadcast(lengths)
-    schema = pa.schema([("word", pa.int32()), ("class_id", pa.int64()), ("size", pa.int32())])
+    schema = pa.schema([("word", pa.int32()), ("class_id", pa.int64()), ("size", pa.int32()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = shared.value
@@ -83,23 +84,33 @@ def short_lists(cls: DataFrame, lengths: np.ndarray, per_mille: int, c: int) ->
             place = np.arange(len(words)) - np.repeat(offsets[:-1] - offsets[0], sizes)
             least = -(-sizes * per_mille // 1000)
             kept = place < np.repeat(np.minimum(sizes, sizes - least + c), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(words[order][kept], type=pa.int32()), pa.array(np.asarray(rows.column(0))[owner[kept]], type=pa.int64()), pa.array(sizes[owner[kept]].astype(np.int32))], schema=schema)
+            if not len(words):
+                continue
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (words.view(np.uint32) % np.uint32(64)).astype(np.uint64), offsets[:-1] - offsets[0]).view(np.int64)
+            mine = owner[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(words[order][kept], type=pa.int32()), pa.array(np.asarray(rows.column(0))[mine], type=pa.int64()), pa.array(sizes[mine].astype(np.int32)), pa.array(bits[mine])], schema=schema)
 
-    return cls.select("class_id", "words").mapInArrow(run, "word int, class_id long, size int")
+    return cls.select("class_id", "words").mapInArrow(run, "word int, class_id long, size int, bits long")
 
 
 def linked_classes(cls: DataFrame, lengths: np.ndarray, per_mille: int = PER_MILLE, c: int = C) -> DataFrame:
-    """(a, b), a < b: pairs of classes whose words overlap enough."""
+    """(a, b), a < b: pairs of classes whose words overlap enough.
+
+    A pair that meets in a short list is dropped at once if it cannot overlap enough: every bit in which two
+    classes differ needs a word that only one of them has, so n + m less those bits is at least twice the overlap.
+    """
     postings = short_lists(cls, lengths, per_mille, c)
-    left = postings.select("word", F.col("class_id").alias("a"), F.col("size").alias("n"))
-    right = postings.select("word", F.col("class_id").alias("b"), F.col("size").alias("m"))
-    met = left.join(right, "word").where("a < b").where((F.col("n") * 1000 >= F.col("m") * per_mille) & (F.col("m") * 1000 >= F.col("n") * per_mille))
+    left = postings.select("word", F.col("class_id").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    right = postings.select("word", F.col("class_id").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    both = F.col("n") + F.col("m")
+    can = (both - F.bit_count(F.col("x").bitwiseXOR(F.col("y")))) * (1000 + per_mille) >= both * 2 * per_mille
+    met = left.join(right, "word").where("a < b").where(can)
     # a pair of sets of fewer than C required words may meet less often: all its lists are short then
     merged = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("met") >= F.least(F.lit(c), F.ceil(F.greatest("n", "m") * per_mille / 1000)))
     words = cls.select(F.col("class_id"), "words")
     probed = merged.select("a", "b").join(words.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("class_id").alias("b"), F.col("words").alias("wb")), "b")
-    both = probed.withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    return both.where(F.col("common") * 1000 >= (F.size("wa") + F.size("wb") - F.col("common")) * per_mille).select("a", "b")
+    overlap = probed.withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    return overlap.where(F.col("common") * 1000 >= (F.size("wa") + F.size("wb") - F.col("common")) * per_mille).select("a", "b")
 
 
 def members(recs: DataFrame, min_words: int) -> DataFrame:
@@ -111,8 +122,8 @@ def members(recs: DataFrame, min_words: int) -> DataFrame:
 def pairs(df: DataFrame, key: str, text: str, min_words: int, per_mille: int = PER_MILLE) -> DataFrame:
     """(id_a, id_b) of all linked records, copies included."""
     recs = records(df, key, text)
-    cls = classes(recs, min_words)
-    links = linked_classes(cls, list_lengths(recs), per_mille)
+    cls = checkpointed(classes(recs, min_words))
+    links = linked_classes(cls, list_lengths(cls), per_mille)
     held = members(recs, min_words)
     left, right = held.select(F.col("class_id").alias("a"), F.col("id").alias("x")), held.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
     across = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -127,7 +138,8 @@ def groups(df: DataFrame, key: str, text: str, min_words: int, per_mille: int =
     smallest class reachable over links. Labels move along links and jump over each other's until none
     changes; each round is checkpointed in the shared folder."""
     recs = records(df, key, text)
-    links = checkpointed(linked_classes(classes(recs, min_words), list_lengths(recs), per_mille))
+    cls = checkpointed(classes(recs, min_words))
+    links = checkpointed(linked_classes(cls, list_lengths(cls), per_mille))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("links")))
     while True:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("operators.runs", "operators.changes")
+
+
+def _merge(attribute: str) -> dict:
+    merged: dict = {}
+    for name in MODULES:
+        merged |= getattr(importlib.import_module(f"docloom.{name}"), attribute)
+    return merged
+
 
 def queries() -> dict:
-    return {}
+    return _merge("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _merge("SQL")

@@ -58,8 +58,8 @@ def spend_guard(spark, sf_dir: str, ceiling: float = 0.5) -> DataFrame:
 
 
 def latest_decision(spark, sf_dir: str) -> DataFrame:
-    """For each page of the claims, by short commit: its latest decision whose commit begins with it."""
-    pages = table(spark, sf_dir, "claims").where("length(commit) >= 7").select("repo", "path", F.left("commit", F.lit(7)).alias("short")).distinct()
+    """For each page of the logs, by short commit: its latest decision whose commit begins with it."""
+    pages = table(spark, sf_dir, "node_logs").where("length(commit) >= 7").select("repo", "path", F.left("commit", F.lit(7)).alias("short")).distinct()
     decisions = table(spark, sf_dir, "decisions").select("repo", "path", "commit", "id", "outcome")
     met = pages.join(decisions, ["repo", "path"]).where(F.col("commit").startswith(F.col("short")))
     return met.groupBy("repo", "path", "short").agg(F.max("id").alias("id"), F.max_by("outcome", "id").alias("outcome"))
@@ -89,7 +89,7 @@ SQL = {
     "root_cause_backlog": "SELECT repo, root_cause_tag, count(*) AS n FROM decisions WHERE outcome = 'fallback' AND root_cause_tag <> '' GROUP BY 1, 2",
     "run_positions": "SELECT id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS place, node FROM node_logs",
     "spend_guard": f"WITH s AS (SELECT id, run_id, {_USD} AS usd FROM node_logs), w AS (SELECT id, run_id, coalesce(sum(usd) OVER (PARTITION BY run_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, usd - coalesce(lag(usd) OVER (PARTITION BY run_id ORDER BY id), 0) AS d FROM s) SELECT id, run_id, CAST(b AS DOUBLE) AS before, CAST(d AS DOUBLE) AS delta, b < 0.5 AS attempted FROM w",
-    "latest_decision": "WITH p AS (SELECT DISTINCT repo, path, left(commit, 7) AS short FROM claims WHERE length(commit) >= 7) SELECT p.repo, p.path, p.short, max(d.id) AS id, arg_max(d.outcome, d.id) AS outcome FROM p JOIN decisions d ON d.repo = p.repo AND d.path = p.path AND starts_with(d.commit, p.short) GROUP BY 1, 2, 3",
+    "latest_decision": "WITH p AS (SELECT DISTINCT repo, path, left(commit, 7) AS short FROM node_logs WHERE length(commit) >= 7) SELECT p.repo, p.path, p.short, max(d.id) AS id, arg_max(d.outcome, d.id) AS outcome FROM p JOIN decisions d ON d.repo = p.repo AND d.path = p.path AND starts_with(d.commit, p.short) GROUP BY 1, 2, 3",
     "stage_status": "SELECT node, status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY node), 9) AS share FROM node_logs GROUP BY 1, 2",
     "attempts": "WITH d AS (SELECT id, list_transform(CAST(attempts AS JSON[]), lambda x: CAST(json_extract(x, '$.precision') AS DOUBLE)) AS p FROM decisions WHERE json_valid(attempts)) SELECT id, len(p) AS n, list_max(p) AS best, p[1] AS first, len(p) >= 3 AND list_max(p) - p[1] < 0.05 AS stuck FROM d WHERE len(p) > 0",
 }

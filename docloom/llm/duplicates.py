@@ -15,7 +15,7 @@ an ordinary skewed join key, which Spark splits at run time. Nothing is capped.
 
 Words are compared by 32-bit hashes; two different words of a pair collide with a chance below 1e-6.
 
-Defined cases: null and empty texts and records below ``min_words`` distinct words are linked to nothing
+Defined cases: records without an id are left out; null and empty texts and records below ``min_words`` distinct words are linked to nothing
 (they still get a class of their own words in ``classes``; a null text counts as no words); repeated rows
 are linked to each other; the empty table gives empty results.
 """
@@ -44,7 +44,7 @@ def words_of(text: str):
 
 def records(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, words): sorted hashes of the distinct words."""
-    return df.select(F.col(key).cast("long").alias("id"), F.array_sort(F.transform(words_of(text), lambda w: F.hash(w))).alias("words"))
+    return df.select(F.col(key).cast("long").alias("id"), F.array_sort(F.transform(words_of(text), lambda w: F.hash(w))).alias("words")).where("id is not null")
 
 
 def identity(words: str = "words"):

@@ -10,7 +10,7 @@ sample of bounded size, hence never above its true k-th best: pruning loses noth
 Equal vectors would tie in large groups: of each group only the first k + 1 by id take part (ties go to the
 smaller id, so no other can be in a list), and all further members take over the list of the first one.
 
-Defined cases: null vectors, vectors of another dimension, with null or not finite parts, or of all zeros
+Defined cases: rows without an id, null vectors, vectors of another dimension, with null or not finite parts, or of all zeros
 are left out; fewer than k other vectors give shorter lists; ties go to the smaller id; repeated rows are
 vectors of their own.
 """
@@ -41,7 +41,7 @@ def sound(df: DataFrame, key: str, vector: str, dimension: int = DIMENSION) -> D
     """(id, v) of the vectors that can be compared."""
     v = F.col(vector)
     fine = (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(3e38))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v")).where(F.coalesce(fine, F.lit(False)))
+    return df.select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v")).where(F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull())
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:

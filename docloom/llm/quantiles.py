@@ -20,10 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.session import table
 
@@ -34,8 +34,6 @@ BITS = 32
 SKETCHED = BITS - 9
 #: A group of at most so many distinct values is kept as they are.
 SPARSE = 1024
-#: Groups held by a task at once; beyond it, their cells are sent on and summed later.
-HELD = 128
 SALTS = 4
 PERCENTS = (50, 90, 95, 99)
 RANK_ERROR = 0.01
@@ -101,41 +99,77 @@ def exact(values: np.ndarray, weights: np.ndarray, percent: float) -> int:
     return int(values[order][min(at, len(order) - 1)]) - OFFSET
 
 
-class _Groups:
-    """The groups of one task: plain values first, cells once there are too many."""
-
-    def __init__(self) -> None:
-        self.values: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.cells: dict[tuple, np.ndarray] = {}
-        self.total: dict[tuple, int] = {}
-
-    def add(self, key: tuple, values: np.ndarray, weights: np.ndarray) -> None:
-        self.total[key] = self.total.get(key, 0) + int(weights.sum())
-        if key not in self.cells:
-            held = self.values.setdefault(key, [])
-            held.append((values, weights))
-            if sum(len(v) for v, _ in held) <= SPARSE:
-                return
-            values, weights = (np.concatenate(x) for x in zip(*self.values.pop(key), strict=True))
-            self.cells[key] = np.zeros((BITS, DEPTH * WIDTH), dtype=np.int64)
-        self.cells[key] += cells_of(values, weights)
-
-    def drain(self) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
-        """(key, levels, cells, weights) of each group."""
-        for key, total in self.total.items():
-            levels, places_, weights = [np.array([TOTAL])], [np.array([0])], [np.array([total])]
-            if key in self.cells:
-                level, cell = np.nonzero(self.cells[key])
-                levels.append(level)
-                places_.append(cell)
-                weights.append(self.cells[key][level, cell])
-            else:
-                v, w = (np.concatenate(x) for x in zip(*self.values[key], strict=True))
-                levels.append(np.full(len(v), VALUES))
-                places_.append(v.astype(np.int64))
-                weights.append(w)
-            yield key, np.concatenate(levels), np.concatenate(places_), np.concatenate(weights)
-        self.__init__()
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, number columns) of each stretch of rows with the same first ``n`` columns."""
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        codes = [np.asarray(rows.column(i).dictionary_encode().indices.fill_null(-1)) for i in range(n)]
+        changed = np.zeros(rows.num_rows, dtype=bool)
+        changed[0] = True
+        for c in codes:
+            changed[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(changed)
+        keys = list(zip(*(rows.column(i).take(pa.array(starts)).to_pylist() for i in range(n)), strict=True))
+        numbers = [np.asarray(rows.column(i)) for i in range(n, rows.num_columns)]
+        for key, a, b in zip(keys, starts, np.r_[starts[1:], rows.num_rows], strict=True):
+            yield key, [x[a:b] for x in numbers]
+
+
+class _Out:
+    """Rows of many groups, given out in batches of some size."""
+
+    def __init__(self, schema: pa.Schema, n: int) -> None:
+        self.schema, self.n = schema, n
+        self.keys: list[tuple] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, key: tuple, *columns: np.ndarray) -> None:
+        self.keys.append(key)
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def drain(self) -> pa.RecordBatch:
+        owner = pa.array(np.repeat(np.arange(len(self.keys)), [len(p[0]) for p in self.parts]))
+        types = [f.type for f in self.schema]
+        keys = [pa.array([k[i] for k in self.keys], type=types[i]).take(owner) for i in range(self.n)]
+        columns = [pa.array(np.concatenate(c), type=t) for c, t in zip(zip(*self.parts, strict=True), types[self.n :], strict=True)]
+        self.keys, self.parts, self.size = [], [], 0
+        return pa.RecordBatch.from_arrays([*keys, *columns], schema=self.schema)
+
+
+class _Group:
+    """One group: plain values first, cells once there are too many of them."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.total, self.count = key, 0, 0
+        self.values: list[tuple[np.ndarray, np.ndarray]] = []
+        self.cells: np.ndarray | None = None
+
+    def add(self, values: np.ndarray, weights: np.ndarray) -> None:
+        self.total += int(weights.sum())
+        self.count += len(values)
+        self.values.append((values, weights))
+        if self.count > SPARSE:
+            values, weights = (np.concatenate(x) for x in zip(*self.values, strict=True))
+            self.values = []
+            added = cells_of(values, weights)
+            self.cells = added if self.cells is None else self.cells + added
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels, cells and weights."""
+        if self.cells is None:
+            values, weights = (np.concatenate(x) for x in zip(*self.values, strict=True))
+            levels, places_ = np.full(len(values), VALUES), values.astype(np.int64)
+        else:
+            levels, places_ = np.nonzero(self.cells)
+            weights = self.cells[levels, places_]
+        return np.r_[levels, TOTAL].astype(np.int32), np.r_[places_, 0].astype(np.int64), np.r_[weights, self.total].astype(np.int64)
+
+
+def key_schema(df: DataFrame, keys: list[str], rest: list[tuple[str, pa.DataType]]) -> pa.Schema:
+    return pa.schema([*((k, to_arrow_type(df.schema[k].dataType)) for k in keys), *rest])
 
 
 def sketch(df: DataFrame, keys: list[str], value: str, weight: Column | None = None, salts: int = SALTS) -> DataFrame:
@@ -145,78 +179,110 @@ def sketch(df: DataFrame, keys: list[str], value: str, weight: Column | None = N
     values only; these are then sent to ``salts`` tasks per group, whose cells are summed.
     """
     plain = df.select(*keys, (F.col(value).cast("long") + F.lit(OFFSET)).alias("value"), (weight if weight is not None else F.lit(1)).cast("long").alias("weight")).where("value is not null and weight is not null")
+    return built(plain, keys, salts)
+
+
+def built(plain: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """The sketches of encoded values with weights."""
     counted = plain.groupBy(*keys, "value").agg(F.sum("weight").alias("weight")).where("weight <> 0")
     n = len(keys)
     ddl = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys) + ", level int, cell long, weight long"
+    schema = key_schema(counted, keys, [("level", pa.int32()), ("cell", pa.int64()), ("weight", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, types, schema = _Groups(), None, None
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for key, levels, cells, weights in groups.drain():
-                size = len(levels)
-                columns = [pa.array([k] * size, type=t) if size < 2 else pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, dtype=np.int32)), pa.array([k], type=t)).cast(t) for k, t in zip(key, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(levels.astype(np.int32)), pa.array(cells.astype(np.int64)), pa.array(weights.astype(np.int64))], schema=schema)
-
-        for rows in batches:
-            types = [rows.schema.field(i).type for i in range(n)]
-            schema = pa.schema([*(pa.field(k, t) for k, t in zip(keys, types, strict=True)), ("level", pa.int32()), ("cell", pa.int64()), ("weight", pa.int64())])
-            frame = pd.DataFrame({"v": rows.column(n).to_numpy(), "w": rows.column(n + 1).to_numpy()})
-            key_rows = list(zip(*(rows.column(i).to_pylist() for i in range(n)), strict=True))
-            codes, uniques = pd.factorize(pd.Series(key_rows, dtype=object)) if n > 1 else pd.factorize(pd.Series([k[0] for k in key_rows], dtype=object), use_na_sentinel=False)
-            for code, at in pd.Series(np.arange(len(frame))).groupby(codes).indices.items():
-                key = uniques[code] if n > 1 else (uniques[code],)
-                groups.add(tuple(key), frame.v.to_numpy()[at].astype(np.uint64), frame.w.to_numpy()[at])
-            if len(groups.total) > HELD:
-                yield from emit()
-        if groups.total:
-            yield from emit()
-
-    placed = counted.repartition(*keys, F.pmod(F.hash("value"), F.lit(salts)))
+        out, group = _Out(schema, n), None
+        for key, (values, weights) in runs(batches, n):
+            if group is None or key != group.key:
+                if group is not None:
+                    out.add(group.key, *group.rows())
+                    if out.size > 100_000:
+                        yield out.drain()
+                group = _Group(key)
+            group.add(values.astype(np.uint64), weights)
+        if group is not None:
+            out.add(group.key, *group.rows())
+            yield out.drain()
+
+    placed = counted.select(*keys, "value", "weight").repartition(*keys, F.pmod(F.hash("value"), F.lit(salts))).sortWithinPartitions(*keys)
     return merge(placed.mapInArrow(run, ddl), keys)
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches of the same group added up; leaving a key out merges over it (days into a period)."""
+    """Sketches of the same group added up."""
     return sketches.groupBy(*keys, "level", "cell").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
+def combined(sketches: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+    """Sketches merged over the keys that are left out (days into a period). Groups that were small enough to be
+    kept as values are sketched anew where they no longer are."""
+    cells = sketches.where(F.col("level") != VALUES).select(*keys, "level", "cell", "weight")
+    values = built(sketches.where(F.col("level") == VALUES).select(*keys, F.col("cell").alias("value"), "weight"), keys, salts)
+    return merge(cells.unionByName(values.where(F.col("level") != TOTAL)), keys)
+
+
+def answers(levels: np.ndarray, cells: np.ndarray, weights: np.ndarray, percents: tuple) -> tuple[int, list[int]]:
+    """Weight and percentiles of one group's rows."""
+    total = int(weights[levels == TOTAL].sum())
+    plain, dense = levels == VALUES, (levels >= 0) & (levels < BITS)
+    if total <= 0:
+        return total, []
+    values = cells[plain].astype(np.uint64)
+    if not dense.any():
+        return total, [exact(values, weights[plain], p) for p in percents]
+    table_ = cells_of(values, weights[plain]) if plain.any() else np.zeros((BITS, DEPTH * WIDTH), dtype=np.int64)
+    np.add.at(table_, (levels[dense], cells[dense]), weights[dense])
+    return total, [invert(table_, total, p) for p in percents]
+
+
 def percentiles(sketches: DataFrame, keys: list[str], percents: tuple = PERCENTS) -> DataFrame:
-    """(keys, percent, value, n) of every group. A group's rows are its cells, bounded by the sketch's size,
-    and its plain values, at most ``SPARSE`` per task that held it and day that was merged."""
+    """(keys, percent, value, n) of every group. Rows come sorted by group, so a task holds one group at a time:
+    its cells, bounded by the sketch's size, and its plain values, at most ``SPARSE`` per task that held it."""
+    n = len(keys)
     ddl = ", ".join(f"`{k}` {sketches.schema[k].dataType.simpleString()}" for k in keys) + ", percent double, value long, n long"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        level, cell, weight = (rows[c].to_numpy() for c in ("level", "cell", "weight"))
-        total = int(weight[level == TOTAL].sum())
-        plain, dense = level == VALUES, (level >= 0) & (level < BITS)
-        out = []
-        if total > 0:
-            values = cell[plain].astype(np.uint64)
-            if dense.any():
-                cells = cells_of(values, weight[plain]) if plain.any() else np.zeros((BITS, DEPTH * WIDTH), dtype=np.int64)
-                np.add.at(cells, (level[dense], cell[dense]), weight[dense])
-                out = [invert(cells, total, p) for p in percents]
-            else:
-                out = [exact(values, weight[plain], p) for p in percents]
-        first = rows.iloc[0] if len(rows) else None
-        return pd.DataFrame({**{k: pd.Series([first[k]] * len(out), dtype=object) for k in keys}, "percent": [float(p) for p in percents[: len(out)]], "value": out, "n": [total] * len(out)})
-
-    return sketches.groupBy(*keys).applyInPandas(run, ddl)
+    schema = key_schema(sketches, keys, [("percent", pa.float64()), ("value", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, last = _Out(schema, n), [], None
+
+        def close() -> None:
+            if held:
+                total, found = answers(*(np.concatenate(x) for x in zip(*held, strict=True)), percents)
+                if found:
+                    out.add(last, np.array(percents, dtype=np.float64), np.array(found, dtype=np.int64), np.full(len(found), total))
+                held.clear()
+
+        for key, columns in runs(batches, n):
+            if key != last:
+                close()
+                last = key
+                if out.size > 10_000:
+                    yield out.drain()
+            held.append(columns)
+        close()
+        if out.size:
+            yield out.drain()
+
+    return sketches.select(*keys, "level", "cell", "weight").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 KEYS = ["node", "status"]
 
 
 def p3_percentiles(spark, sf_dir: str) -> DataFrame:
-    """Median and other percentiles of ``ms`` per node and status over the whole period."""
-    return percentiles(sketch(table(spark, sf_dir, "node_logs"), KEYS, "ms"), KEYS)
+    """Median and other percentiles of ``ms`` per node and status, for each day of ``created_at`` and for the
+    whole period (``day`` is null). The period's come from the days' sketches, not from the rows again; rows
+    without a time have no day and count in the period only, as a sketch of their own."""
+    logs = table(spark, sf_dir, "node_logs").withColumn("day", F.to_date("created_at"))
+    days = sketch(logs, ["day", *KEYS], "ms")
+    per_day = percentiles(days.where("day is not null"), ["day", *KEYS])
+    whole = percentiles(combined(days, KEYS), KEYS)
+    return per_day.unionByName(whole.withColumn("day", F.lit(None).cast("date")))
 
 
-def p3_merged_days(spark, sf_dir: str) -> DataFrame:
-    """The same from one sketch per day, added up over the days."""
-    logs = table(spark, sf_dir, "node_logs").withColumn("day", F.to_date("created_at"))
-    return percentiles(merge(sketch(logs, ["day", *KEYS], "ms"), KEYS), KEYS)
+def p3_whole_period(spark, sf_dir: str) -> DataFrame:
+    """The whole period's percentiles from one sketch of all rows."""
+    return percentiles(sketch(table(spark, sf_dir, "node_logs"), KEYS, "ms"), KEYS)
 
 
 def p3_without_repeats(spark, sf_dir: str) -> DataFrame:
@@ -228,5 +294,5 @@ def p3_without_repeats(spark, sf_dir: str) -> DataFrame:
     return percentiles(merge(taken, KEYS), KEYS)
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_merged_days": p3_merged_days, "p3_without_repeats": p3_without_repeats}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_whole_period": p3_whole_period, "p3_without_repeats": p3_without_repeats}
 SQL: dict[str, str] = {}

@@ -273,7 +273,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if hit:
                 x, y, value, quoted = hit
                 if not quoted:
-                    before = text[max(0, a - 200) : a].rsplit(None, 1)[-1] if a else ""
+                    before = re.search(r"\S*\Z", text[max(0, a - 200) : a])[0]
                     if "://" in before and before[-1:] in "?&":
                         value = value.split("&", 1)[0]
                     elif ";" in value and re.search(r"[;=]$", text[max(0, a - 1) : a]):

@@ -212,7 +212,7 @@ def evidence(text: str) -> Counter:
 
 
 class Abbreviations:
-    """Classes by key: ``inner`` never closes a sentence, ``closing`` may."""
+    """Classes by key: ``inner`` never closes a sentence, ``closing`` may, ``word`` is none."""
 
     def __init__(self, corpus: dict[str, str]):
         self.corpus = corpus
@@ -223,9 +223,10 @@ class Abbreviations:
         if len(key) == 1 and (before[:1].isdigit() or not key.isalpha()):
             return None  # a unit after a number: "after 833 h."
         if key in self.corpus:
-            return self.corpus[key]
-        seen = own.get(key)
-        if seen and (len(key) <= 4 or "." in key) and seen["lower"] >= 2 and seen["upper"] + seen["name"] + seen["other"] + seen["end"] == 0:
+            sense = self.corpus[key]
+            return None if sense == "word" else sense
+        seen = own.get(key)  # a capital after it tells nothing; small letters do, and a block's end against it
+        if seen and (len(key) <= 4 or "." in key) and seen["lower"] >= 2 and seen["name"] + seen["other"] + seen["end"] == 0:
             return "inner"
         if key in CLOSING:
             return "closing"
@@ -244,6 +245,8 @@ def classify(counts: dict[str, dict[str, int]]) -> dict[str, str]:
         dotted = "." in key.strip(".")
         learnt = total >= 20 and (small >= 0.3 * total or (number >= 0.9 * total and final == 0))
         if not (known or learnt or (dotted and len(key) <= 5 and total >= 5)):
+            if total >= 20:
+                out[key] = "word"
             continue
         out[key] = "closing" if final >= 0.005 * total and total >= 20 else "closing" if key in CLOSING and total < 20 else "inner"
     return out
@@ -318,7 +321,7 @@ def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Co
             key, before = key_before(text, at, a)
             if key.isdigit() and len(key) <= 4 and sort in ("upper", "lower") and before in ORDINAL_BEFORE:
                 continue
-            if len(key) <= 2 and key.isalpha() and not before[-1:].isdigit() and re.match(r"[^\W\d_]{1,3}\.(?:\s|$)", tail) and gap:
+            if len(key) == 1 and key != key.upper() and not before[-1:].isdigit() and re.match(r"[^\W\d_]{1,3}\.(?:\s|$)", tail) and gap:
                 continue  # the first part of "z. B."
             sense = known.of(key, before, own)
             if sense == "inner" or sense == "closing" and (sort == "lower" or sort == "upper" and starts_proper_name(following, text)):

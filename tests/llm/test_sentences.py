@@ -36,7 +36,7 @@ def test_learnt_abbreviations():
     learnt = S.classify({"xyz": {"lower": 40, "digit": 0, "upper": 0, "end": 0}, "stop": {"lower": 1, "upper": 90, "end": 9}, "etc": {"lower": 50, "upper": 40, "end": 3}})
     assert learnt == {"xyz": "inner", "etc": "closing", "stop": "word"}
     assert cut("The xyz. Thing is. Now", S.Abbreviations(learnt)) == ["The xyz. Thing is.", "Now"]
-    assert cut("Own qrs. here and qrs. there, qrs. Then. No") == ["Own qrs. here and qrs. there, qrs.", "Then.", "No"]
+    assert cut("Own qrs. here and qrs. there, qrs. Then. No") == ["Own qrs. here and qrs. there, qrs. Then.", "No"]
 
 
 def test_positions_and_long_texts():

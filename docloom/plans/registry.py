@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.runs", "operators.changes", "operators.coupling", "operators.facts", "operators.segments", "operators.retrieval", "operators.sections", "streaming.events")
+MODULES = ("operators.runs", "operators.changes", "operators.coupling", "operators.facts", "operators.segments", "operators.retrieval", "operators.sections", "operators.pages", "streaming.events")
 
 
 def _merge(attribute: str) -> dict:

@@ -102,3 +102,29 @@ def test_search_leaves_out_unusable_vectors(spark):
     got = {(r.query_id, r.vec_id) for r in search(points, points, 5, ["repo"]).collect()}
     assert got == {(0, 1), (1, 0)}
     assert search(points.limit(0), points.limit(0), 5, ["repo"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "state"),
+    [(None, "empty"), (" ", "empty"), ('{"a": 1}', "valid"), ('{"usage":', "repaired"), ('{"a": [1, 2', "repaired"), ('```json\n{"a": 1,}\n```', "repaired"), ('text {"a": "b"} more', "repaired"), ("{'a': 1}", "repaired"), ("nothing", "broken"), ('{"a": "x', "repaired")],
+)
+def test_repaired_json(text, state):
+    from docloom.operators.pages import repair
+
+    assert repair(text)[0] == state
+
+
+def test_snapshots(spark, tmp_path):
+    from docloom.sources.files import append, changed_between, overwrite_slices, results, snapshot
+
+    for rev, files in {"a": {"x/y.py": "one", "z.md": "same", "gone.md": "g"}, "b": {"x/y.py": "two", "z.md": "same", "new.md": "n", "bin.dat": "a\0b", "big.txt": "x" * 200_001}}.items():
+        for name, content in files.items():
+            (tmp_path / rev / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / rev / name).write_text(content)
+    old, new = snapshot(spark, str(tmp_path / "a")), snapshot(spark, str(tmp_path / "b"))
+    assert {(r.path, r.change) for r in changed_between(old, new).collect()} == {("x/y.py", "changed"), ("gone.md", "removed"), ("new.md", "added")}
+    (tmp_path / "r.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert [r.a for r in results(spark, str(tmp_path / "r.json"), "a int").collect()] == [1, 2]
+    append(spark.createDataFrame([(1, "p"), (2, "q")], "v int, k string"), str(tmp_path / "t"), "k")
+    overwrite_slices(spark.createDataFrame([(3, "p")], "v int, k string"), str(tmp_path / "t"), "k")
+    assert {(r.v, r.k) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(3, "p"), (2, "q")}

@@ -100,20 +100,24 @@ def selected_files(spark, sf_dir: str) -> DataFrame:
 
 
 def superseded(spark, sf_dir: str) -> DataFrame:
-    """Earlier changes of a page whose changed files are all among those of a later one. Pairs are made per
-    repository and page, and both sides are made distinct by their set of files first."""
+    """Earlier changes of a page whose changed files are all among those of a later one, with the last such.
+    A set that holds all files of another holds its rarest one: candidates are found over an inverted list of
+    that file only, per repository and page, and each distinct set stands once in the lists."""
     units = table(spark, sf_dir, "change_units").where("size(changedFiles) > 0").select("repo", tidy_path(F.col("filePath")).alias("path"), "change_id", F.array_sort(F.array_distinct("changedFiles")).alias("files"))
-    later = units.groupBy("repo", "path", "files").agg(F.max("change_id").alias("last"))
-    met = units.join(later.select("repo", "path", F.col("files").alias("more"), "last"), ["repo", "path"]).where("change_id < last").where(F.size(F.array_except("files", "more")) == 0)
+    lists = units.groupBy("repo", "path", "files").agg(F.max("change_id").alias("last")).select("repo", "path", F.explode("files").alias("file"), F.col("files").alias("more"), "last")
+    lengths = lists.groupBy("repo", "path", "file").agg(F.count("*").alias("n"))
+    own = units.select("repo", "path", "change_id", "files", F.explode("files").alias("file")).join(lengths, ["repo", "path", "file"])
+    rarest = own.groupBy("repo", "path", "change_id").agg(F.min_by(F.struct("file", "files"), F.struct("n", "file")).alias("r")).select("repo", "path", "change_id", "r.file", "r.files")
+    met = rarest.join(lists, ["repo", "path", "file"]).where("change_id < last").where(F.size(F.array_except("files", "more")) == 0)
     return met.groupBy("change_id").agg(F.max("last").alias("by_change"))
 
 
 def linked_files(spark, sf_dir: str) -> DataFrame:
-    """Undirected links between files that change together, each once, with the number of changes. Only the
-    files of one change are paired (their number is bounded by the change)."""
-    files = table(spark, sf_dir, "change_units").where("size(changedFiles) > 1").select("repo", "change_id", F.array_distinct(F.transform("changedFiles", tidy_path)).alias("f"))
-    pair = files.select("repo", "change_id", F.explode("f").alias("a"), "f").select("repo", "change_id", "a", F.explode("f").alias("b")).where("a < b")
-    return pair.groupBy("repo", "a", "b").agg(F.countDistinct("change_id").alias("changes"))
+    """Links between files that change together, with the number of changes: each file of a change is linked to
+    its first one. That star connects the same files as all pairs would, with one row per file."""
+    files = table(spark, sf_dir, "change_units").where("size(changedFiles) > 1").select("repo", "change_id", F.array_sort(F.array_distinct(F.transform("changedFiles", tidy_path))).alias("f"))
+    star = files.select("repo", "change_id", F.get("f", F.lit(0)).alias("a"), F.explode("f").alias("b")).where("a <> b")
+    return star.groupBy("repo", "a", "b").agg(F.count("*").alias("changes"))
 
 
 QUERIES = {f.__name__: f for f in (public_symbols, coupling_stats, doc_references, foreign_references, route_links, undocumented_routes, documented_symbols, selected_files, superseded, linked_files)}
@@ -145,5 +149,5 @@ SQL = {
         m AS (SELECT repo, regexp_matches(p, '^src/.*$|^lib/.*$|^services/(?:.*/)?[^/]*\.py$|^(?:.*/)?[^/]*\.go$') AS s, regexp_matches(p, '^(?:.*/)?generated/.*$|^(?:.*/)?[^/]*\.min\.js$|^vendor/.*$|^(?:.*/)?vend[^/]rs/.*$') AS x FROM f)
         SELECT repo, count(*) FILTER (WHERE s AND NOT x) AS chosen, count(*) FILTER (WHERE x) AS excluded FROM m GROUP BY repo""",
     "superseded": f"WITH u AS (SELECT repo, {_PATH.format('filePath')} AS path, change_id, changedFiles AS f FROM change_units WHERE len(changedFiles) > 0) SELECT a.change_id, max(b.change_id) AS by_change FROM u a JOIN u b ON a.repo = b.repo AND a.path = b.path AND a.change_id < b.change_id WHERE list_has_all(b.f, a.f) GROUP BY 1",
-    "linked_files": f"WITH x AS (SELECT DISTINCT repo, change_id, {_PATH.format('f')} AS f FROM (SELECT repo, change_id, unnest(changedFiles) AS f FROM change_units)) SELECT a.repo, a.f AS a, b.f AS b, count(DISTINCT a.change_id) AS changes FROM x a JOIN x b ON a.repo = b.repo AND a.change_id = b.change_id AND a.f < b.f GROUP BY 1, 2, 3",
+    "linked_files": f"WITH x AS (SELECT DISTINCT repo, change_id, {_PATH.format('f')} AS f FROM (SELECT repo, change_id, unnest(changedFiles) AS f FROM change_units WHERE len(changedFiles) > 1)), m AS (SELECT *, min(f) OVER (PARTITION BY change_id) AS a FROM x) SELECT repo, a, f AS b, count(*) AS changes FROM m WHERE a <> f GROUP BY 1, 2, 3",
 }

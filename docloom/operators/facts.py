@@ -75,11 +75,14 @@ def fact_states(spark, sf_dir: str) -> DataFrame:
 
 
 def folder_digests(spark, sf_dir: str) -> DataFrame:
-    """One digest per repository over its files: a hash of the sorted lines of path and content hash. Only
-    hashes are gathered, not texts."""
+    """One digest per repository over its files: a hash over the digests of 4,096 parts, each a hash of its
+    sorted lines of path and content hash. Parts are chosen by the path's hash, so no task gathers the lines of
+    a whole repository, and the second step gathers at most 4,096 digests."""
     units = table(spark, sf_dir, "change_units").where("after is not null").select("repo", tidy_path(F.col("filePath")).alias("path"), F.sha2("after", 256).alias("h")).distinct()
     lines = F.array_sort(F.collect_list(F.concat("path", F.lit("\t"), "h", F.lit("\n"))))
-    return units.groupBy("repo").agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"), F.count("*").alias("files"))
+    parts = units.groupBy("repo", F.left(F.md5("path"), F.lit(3)).alias("part")).agg(F.sha2(F.array_join(lines, ""), 256).alias("d"), F.count("*").alias("n"))
+    digests = F.array_sort(F.collect_list(F.concat("part", F.lit(":"), "d")))
+    return parts.groupBy("repo").agg(F.sha2(F.array_join(digests, ","), 256).alias("digest"), F.sum("n").alias("files"))
 
 
 def identifiers(spark, sf_dir: str) -> DataFrame:
@@ -119,7 +122,7 @@ SQL = {
     "approved_claims": "SELECT id, repo, path, place FROM (SELECT id, repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY created_at DESC NULLS LAST, id DESC) AS place FROM claims WHERE supported AND approved) WHERE place <= 50",
     "approvals": "SELECT id FROM claims c WHERE supported AND NOT coalesce(approved, false) AND EXISTS (SELECT 1 FROM decisions d WHERE d.outcome = 'published' AND d.repo = c.repo AND d.path = c.path AND d.commit = c.commit)",
     "fact_states": f"WITH n AS (SELECT repo, {_PATH.format('filePath')} AS path, arg_max(sha256(after), change_id) AS digest FROM change_units WHERE after IS NOT NULL GROUP BY 1, 2), f AS (SELECT id, repo, {_PATH.format('source_path')} AS path, source_hash FROM repo_facts) SELECT repo, CASE WHEN starts_with(path, '@') THEN 'aggregate' WHEN digest IS NULL THEN 'missing' WHEN digest IS NOT DISTINCT FROM source_hash THEN 'fresh' ELSE 'stale' END AS state, count(*) AS n FROM f LEFT JOIN n USING (repo, path) GROUP BY 1, 2",
-    "folder_digests": f"SELECT repo, sha256(string_agg(l, '' ORDER BY l)) AS digest, count(*) AS files FROM (SELECT DISTINCT repo, {_PATH.format('filePath')} || chr(9) || sha256(after) || chr(10) AS l FROM change_units WHERE after IS NOT NULL) GROUP BY repo",
+    "folder_digests": f"WITH f AS (SELECT DISTINCT repo, {_PATH.format('filePath')} AS path, sha256(after) AS h FROM change_units WHERE after IS NOT NULL), p AS (SELECT repo, left(md5(path), 3) AS part, sha256(string_agg(path || chr(9) || h || chr(10), '' ORDER BY path || chr(9) || h || chr(10))) AS d, count(*) AS n FROM f GROUP BY 1, 2) SELECT repo, sha256(string_agg(part || ':' || d, ',' ORDER BY part || ':' || d)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM p GROUP BY 1",
     "identifiers": "WITH d AS (SELECT doc_id, sha1(repo || chr(0) || path || chr(0) || doc_id) AS h, repo, path, commit FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL AND commit IS NOT NULL) SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) AS point, left(sha1(repo || '/' || path), 12) AS signature, left(sha256(repo || chr(31) || commit || chr(31) || path), 16) AS span FROM d",
     "sync_plan": "WITH l AS (SELECT repo, arg_max(commit, id) AS commit FROM decisions WHERE commit IS NOT NULL GROUP BY 1), s AS (SELECT repo, left(commit, 7) AS short FROM context_state) SELECT l.repo, CASE WHEN s.short IS NULL THEN 'build' WHEN s.short = left(l.commit, 7) THEN 'current' WHEN EXISTS (SELECT 1 FROM decisions d WHERE d.repo = l.repo AND left(d.commit, 7) = s.short) THEN 'update' ELSE 'rebuild' END AS plan FROM l LEFT JOIN s ON s.repo = l.repo",
     "changed_pages": f"WITH l AS (SELECT repo, {_PATH.format('filePath')} AS path, existing, after, row_number() OVER (PARTITION BY repo, {_PATH.format('filePath')} ORDER BY change_id DESC) AS r FROM change_units) SELECT repo, path, CASE WHEN existing IS NULL OR existing = '' THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'changed' END AS change FROM l WHERE r = 1 AND ((existing <> '') IS TRUE OR after IS NOT NULL) AND NOT ((existing <> '') IS TRUE AND after IS NOT NULL AND existing = after)",

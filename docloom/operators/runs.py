@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.running import running
 from docloom.session import table
 
 
@@ -44,24 +45,24 @@ def root_cause_backlog(spark, sf_dir: str) -> DataFrame:
 
 def run_positions(spark, sf_dir: str) -> DataFrame:
     """Each stage's place in its run, in order of id."""
-    order = Window.partitionBy("run_id").orderBy("id")
-    return table(spark, sf_dir, "node_logs").select("id", "run_id", F.row_number().over(order).cast("long").alias("place"), "node")
+    logs = table(spark, sf_dir, "node_logs").select("id", "run_id", "node", F.lit(0).alias("v"))
+    return running(logs, ["run_id"], "id", "v").select("id", "run_id", "place", "node")
 
 
 def spend_guard(spark, sf_dir: str, ceiling: float = 0.5) -> DataFrame:
     """Spend of a run before each stage, the change against the stage before, and whether the stage is still
-    below the ceiling. A run has a bounded number of stages, so its window is small."""
-    order = Window.partitionBy("run_id").orderBy("id")
+    below the ceiling."""
     spent = table(spark, sf_dir, "node_logs").select("id", "run_id", usd(F.col("note")).alias("usd"))
-    before = F.coalesce(F.sum("usd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spent.select("id", "run_id", before.cast("double").alias("before"), (F.col("usd") - F.coalesce(F.lag("usd").over(order), F.lit(0))).cast("double").alias("delta"), (before < ceiling).alias("attempted"))
+    rows = running(spent, ["run_id"], "id", "usd")
+    return rows.select("id", "run_id", F.col("before").cast("double").alias("before"), (F.col("usd") - F.coalesce("previous", F.lit(0))).cast("double").alias("delta"), (F.col("before") < ceiling).alias("attempted"))
 
 
 def latest_decision(spark, sf_dir: str) -> DataFrame:
     """For each page of the logs, by short commit: its latest decision whose commit begins with it."""
     pages = table(spark, sf_dir, "node_logs").where("length(commit) >= 7").select("repo", "path", F.left("commit", F.lit(7)).alias("short")).distinct()
-    decisions = table(spark, sf_dir, "decisions").select("repo", "path", "commit", "id", "outcome")
-    met = pages.join(decisions, ["repo", "path"]).where(F.col("commit").startswith(F.col("short")))
+    # a commit begins with a short one of seven characters exactly if its first seven are the same: an equality
+    decisions = table(spark, sf_dir, "decisions").select("repo", "path", F.left("commit", F.lit(7)).alias("short"), "id", "outcome")
+    met = pages.join(decisions, ["repo", "path", "short"])
     return met.groupBy("repo", "path", "short").agg(F.max("id").alias("id"), F.max_by("outcome", "id").alias("outcome"))
 
 

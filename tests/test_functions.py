@@ -128,3 +128,19 @@ def test_snapshots(spark, tmp_path):
     append(spark.createDataFrame([(1, "p"), (2, "q")], "v int, k string"), str(tmp_path / "t"), "k")
     overwrite_slices(spark.createDataFrame([(3, "p")], "v int, k string"), str(tmp_path / "t"), "k")
     assert {(r.v, r.k) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(3, "p"), (2, "q")}
+
+
+def test_running_values_cross_stretches(spark):
+    import random
+
+    from docloom.functions.running import running
+
+    r = random.Random(1)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 1, 2, 5])) for i in range(400)]
+    got = {x.id: (x.place, x.before, x.previous) for x in running(spark.createDataFrame(rows, "id long, k string, v long"), ["k"], "id", "v", 37).collect()}
+    want, seen = {}, {}
+    for i, k, v in rows:
+        place, before, previous = seen.get(k, (0, 0, None))
+        want[i] = (place + 1, before, previous)
+        seen[k] = (place + 1, before + (v or 0), v or 0)
+    assert got == want

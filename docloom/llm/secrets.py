@@ -40,6 +40,15 @@ KEY_BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----
 URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://([^\s:/@\"'`<>]*):([^\s@\"'`<>]+)@(?=[A-Za-z0-9\[])")
 HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic|token|digest)\s+([^\s\"'`,;]+)|\b(?:x-[a-z\-]*(?:key|token|secret|auth)|private-token|api-key)[\"']?\s*:\s*[\"']?([^\s\"'`,;]+)")
 BEARER = re.compile(r"(?i)[\"'`\s]bearer\s+([A-Za-z0-9._~+/\-]{16,}=*)")
+# Commands and clauses that take a credential without naming it.
+GIVEN = {
+    "identified": re.compile(r"\bIDENTIFIED\s+(?:WITH\s+\w+\s+)?(?:BY|AS)\s+(?:PASSWORD\s+)?['\"]([^'\"\n]+)['\"]", re.I),
+    "curl": re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:([^\s\"']+)"),
+    "wget": re.compile(r"\bwget\b[^\n]*?\s--(?:http-|ftp-)?password[ =][\"']?([^\s\"']+)"),
+    "mysql": re.compile(r"\bmysql\w*\b[^\n]*?\s-p[\"']?([^\s\"']+)"),
+    "sshpass": re.compile(r"\bsshpass\s+-p\s*[\"']?([^\s\"']+)"),
+    "redis-cli": re.compile(r"\bredis-cli\b[^\n]*?\s(?:-a|--pass)\s+[\"']?([^\s\"']+)"),
+}
 # Words that name a credential, and endings that make the name that of something else.
 STEMS = [re.compile(x) for x in ("pass", "pwd", "pw", "secret", "token", "key", "credential", "auth")]
 FINAL = {"pass", "password", "passwd", "passphrase", "passcode", "pw", "pwd", "secret", "token", "credential", "credentials", "apikey", "auth"}
@@ -242,6 +251,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in BEARER.finditer(text):
             if not is_stand_in(m[1]) and not is_other(m[1]) and entropy(m[1]) >= threshold(m[1], 0.7):
                 found.append((*m.span(1), "header"))
+    for word, pattern in GIVEN.items():
+        if word in small:
+            found += [(*m.span(1), "given") for m in pattern.finditer(text) if plausible(m[1], True)]
     seen: set[int] = set()
     for w in (w for stem in STEMS for w in stem.finditer(small)):
         a, b = name_of(text, w.start(), w.end())
@@ -299,7 +311,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         line_end = text.find("\n", c.end())
         line_end = size if line_end < 0 else line_end
         for m in LITERAL.finditer(text, c.end(), min(line_end, c.end() + 300)):
-            if looks_issued(m[2]) or looks_made_up(m[2]) and not m[2].isalnum():
+            if looks_issued(m[2]) or looks_made_up(m[2]) and (not m[2].isalnum() or classes(m[2]) >= 3):
                 found.append((*m.span(2), "call"))
     found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str]] = []

@@ -87,7 +87,7 @@ def comments(text: str) -> list[str]:
     body = TITLE.sub("", text, count=1)
     found: list[str] = []
     inside = False
-    for line in body.split("\n", HEADER_LINES)[:HEADER_LINES]:
+    for line in body.lstrip().split("\n", HEADER_LINES)[:HEADER_LINES]:
         bare = line.strip()
         if not bare:
             continue
@@ -98,7 +98,7 @@ def comments(text: str) -> list[str]:
         if "*/" in bare or "-->" in bare:
             inside = False
         found.append(bare[:400])
-    for line in reversed(body[-2000:].rstrip().rsplit("\n", FOOTER_LINES)[-FOOTER_LINES:]):
+    for line in reversed(body.rstrip().rsplit("\n", FOOTER_LINES)[-FOOTER_LINES:]):
         if not COMMENT.match(line):
             break
         found.append(line.strip()[:400])

@@ -84,3 +84,26 @@ def selected(path: Column, scope: list[str], exclude: list[str]) -> Column:
     """In scope (everything, where no scope is given) and not excluded."""
     wanted = matches_any(path, scope) if scope else F.lit(True)
     return wanted & ~matches_any(path, exclude)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, everything but letters and digits as single hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def clip(text: Column, length: int, marker: str = "…") -> Column:
+    """At most ``length`` characters, with a marker where something was cut."""
+    return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length - len(marker))), F.lit(marker))).otherwise(text)
+
+
+def human_list(items: Column) -> Column:
+    """``a``, ``a and b``, ``a, b and c``; empty for an empty list."""
+    size = F.size(items)
+    return F.when(size > 1, F.concat(F.array_join(F.slice(items, F.lit(1), size - 1), ", "), F.lit(" and "), F.element_at(items, -1))).when(size == 1, F.get(items, F.lit(0))).otherwise("")
+
+
+def escape_html(text: Column) -> Column:
+    """The five characters that HTML reserves."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text

@@ -144,3 +144,14 @@ def test_running_values_cross_stretches(spark):
         want[i] = (place + 1, before, previous)
         seen[k] = (place + 1, before + (v or 0), v or 0)
     assert got == want
+
+
+def test_small_texts(spark):
+    from docloom.functions.text import clip, escape_html, human_list, slug
+
+    row = spark.range(1).select(
+        slug(F.lit("  Ab c/D_1! ")).alias("s"), clip(F.lit("abcdef"), 4).alias("c"), clip(F.lit("abc"), 4).alias("d"), escape_html(F.lit("<a b='c'>&\"")).alias("e"),
+        *[human_list(F.array(*[F.lit(x) for x in "abc"[:n]]).cast("array<string>")).alias(f"h{n}") for n in range(4)],
+    ).first()
+    assert row.s == "ab-c-d-1" and row.c == "abc…" and row.d == "abc" and row.e == "&lt;a b=&#39;c&#39;&gt;&amp;&quot;"
+    assert [row.h0, row.h1, row.h2, row.h3] == ["", "a", "a and b", "a, b and c"]

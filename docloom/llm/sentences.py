@@ -43,7 +43,7 @@ ORDINAL_BEFORE = {"der", "die", "das", "dem", "den", "des", "am", "im", "vom", "
 
 STRONG = "。！？｡।॥؟۔።፧"
 CLOSERS = "\"'”’»›)]}」』）】〉》“‘"
-MARK = regex.compile(rf"[.!?…]+(?=[\s{re.escape(CLOSERS)}{STRONG}]|$)|[!?…]+(?=[぀-ヿ㐀-鿿가-힯])|[{STRONG}][{STRONG}!?…]*|(?<=[Ͱ-Ͽἀ-῿]|[Ͱ-Ͽ].?[)`»\"])[;;](?=[\s{re.escape(CLOSERS)}]|$)|;")
+MARK = regex.compile(rf"[.!?…]+(?=[\s{re.escape(CLOSERS)}{STRONG}]|$)|[!?…]+(?=[぀-ヿ㐀-鿿가-힯])|[{STRONG}][{STRONG}!?…]*|(?<=[Ͱ-Ͽἀ-῿]|[Ͱ-Ͽ].?[)`»\"])[;\u037e](?=[\s{re.escape(CLOSERS)}]|$)|\u037e")
 CJK_END = re.compile(rf"[{STRONG}…]")
 CJK = re.compile("[぀-ヿ㐀-鿿]")
 THAI = re.compile("[ก-๎]")
@@ -253,14 +253,16 @@ def classify(counts: dict[str, dict[str, int]]) -> dict[str, str]:
 
 
 def starts_proper_name(word: str, text: str) -> bool:
-    """The document shows the word capitalised amid sentences and never small."""
+    """The document shows the word capitalised amid sentences, and neither small nor at another sentence's start."""
     found = WORDS.match(word)
     if not found:
         return False
     name = found[0]
     if re.search(rf"(?<!\w){re.escape(name.lower())}(?!\w)", text):
         return False
-    return re.search(rf"(?<=[a-zà-öø-ÿа-я] ){re.escape(name)}(?!\w)", text) is not None
+    if len(re.findall(rf"(?:^|[.!?…:]\s+|\n\s*){re.escape(name)}(?!\w)", text)) > 1:
+        return False
+    return len(re.findall(rf"(?<=[a-zà-öø-ÿа-я] ){re.escape(name)}(?!\w)", text)) > 1
 
 
 def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Counter], thai: bool = False) -> list[tuple[int, int]]:
@@ -329,8 +331,6 @@ def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Co
         elif set(mark) <= {".", "…"}:
             if sort == "lower" or sort == "other" and not CJK_END.search(mark):
                 continue
-        elif sort == "lower" and not CJK_END.search(mark) and mark not in (";", ";"):
-            continue
         units.append((at, stop))
         at = after
     last = end

@@ -17,6 +17,7 @@ def cut(text, known=KNOWN):
         ('He wrote: "Wrong limit. Use 3!" An empty one.', ['He wrote: "Wrong limit. Use 3!"', "An empty one."]), ('It prints "Stale. Rebuilding." before it goes on. X', ['It prints "Stale. Rebuilding." before it goes on.', "X"]), ('"Is it live?" asks the judge. Yes.', ['"Is it live?" asks the judge.', "Yes."]),
         ("(The tier ignores this.) Next one.", ["(The tier ignores this.)", "Next one."]), ("A part (see sec. 2. for it) is one. B", ["A part (see sec. 2. for it) is one.", "B"]), ("What happened?! Well.", ["What happened?!", "Well."]), ("After 833 h. The end; not here: nor here.", ["After 833 h.", "The end; not here: nor here."]),
         ("Nach dem 3. Versuch endet es. Am 4. Mai, d. h. Neue Läufe, z. B. Entwürfe.", ["Nach dem 3. Versuch endet es.", "Am 4. Mai, d. h. Neue Läufe, z. B. Entwürfe."]), ("The limit is 4. The next one.", ["The limit is 4.", "The next one."]), ("Die Meldung „Alt. Neu läuft.“ erscheint. Ende", ["Die Meldung „Alt. Neu läuft.“ erscheint.", "Ende"]),
+        ("is it open? the next one. and more", ["is it open?", "the next one.", "and more"]), ("At 6 a.m. Version 2 runs. Ab Version 3.", ["At 6 a.m.", "Version 2 runs.", "Ab Version 3."]),
         ("费用下降了3.5%，有关……请先设置；然后启动。评审者写道：“错了。改！”上限为4条。", ["费用下降了3.5%，有关……", "请先设置；然后启动。", "评审者写道：“错了。改！”", "上限为4条。"]), ("ログには「古い。再構築中。」という行が出ます。次です。", ["ログには「古い。再構築中。」という行が出ます。", "次です。"]), ("일찍 \"오래됨. 만드는 중.\" 이라는 줄. 다음.", ["일찍 \"오래됨. 만드는 중.\" 이라는 줄.", "다음."]),
         ("Γιατί μένει κενό; Η υπηρεσία διαβάζει.", ["Γιατί μένει κενό;", "Η υπηρεσία διαβάζει."]), ("सेवा पढ़ती है। लागत घट गई।", ["सेवा पढ़ती है।", "लागत घट गई।"]), ("لماذا تبقى؟ انخفضت الكلفة؛ والسبب.", ["لماذا تبقى؟", "انخفضت الكلفة؛ والسبب."]), ("ገጹ ይመረመራል። ፋይሉ ተዛውሯል።", ["ገጹ ይመረመራል።", "ፋይሉ ተዛውሯል።"]),
         ("ระบบอ่านค่า `x` ครั้งเดียว ห้ามแก้ไข", ["ระบบอ่านค่า `x` ครั้งเดียว", "ห้ามแก้ไข"]), ("Pourquoi ? Ne modifiez jamais ! Le module.", ["Pourquoi ?", "Ne modifiez jamais !", "Le module."]), ("¿Por qué queda? ¡No edites nunca!", ["¿Por qué queda?", "¡No edites nunca!"]), ("Размер, время и т. д. записаны. Предел т. е. Черновики.", ["Размер, время и т. д. записаны.", "Предел т. е. Черновики."]),

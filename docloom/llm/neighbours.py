@@ -151,7 +151,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
     # each block goes to the tiles it is part of; a tile's key is (smaller, greater block)
     left = packed.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.struct("ids", "parts", "floors").alias("a"))
     right = packed.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("ids", "parts", "floors").alias("b"))
-    tiles = left.join(right.hint("shuffle_hash"), ["i", "j"]).select("i", "j", "a", "b")
+    tiles = left.join(right, ["i", "j"]).select("i", "j", "a", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

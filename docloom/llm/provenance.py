@@ -40,8 +40,6 @@ NOTICES = [
 # Wording that talks about generated files and is written by people.
 DENIALS = ["unlike the generated", "edited by hand", "written by hand", "by hand\n", "banner", "generated types", "ids are allowed", "is built from this", "generated client", "code generator prints", "copies vendored", "every output file"]
 #: A notice stands in the file's leading comments, before the first code, or in its closing ones.
-HEADER_LINES = 40
-FOOTER_LINES = 4
 COMMENT = re.compile(r"^\s*(?://|#|--|/\*|\*|<!--|;|\"\"\"|'''|%|\{-|rem\b)", re.I)
 TITLE = re.compile(r"^### FILE: .*(?:\r?\n|\r|$)")
 STATEMENT = re.compile(r"[;{}]|\)\s*[;{]|=>")
@@ -82,26 +80,26 @@ def by_path(path: Column) -> Column:
 
 
 def comments(text: str) -> list[str]:
-    """The comment lines before the first and after the last line of code, at most ``HEADER_LINES`` and
-    ``FOOTER_LINES`` of them; a title line is skipped."""
-    body = TITLE.sub("", text, count=1)
+    """The comment lines before the first and after the last line of code; a title line is skipped."""
+    lines = TITLE.sub("", text, count=1).split("\n")
     found: list[str] = []
     inside = False
-    for line in body.lstrip().split("\n", HEADER_LINES)[:HEADER_LINES]:
+    for line in lines:
         bare = line.strip()
         if not bare:
             continue
         if not (inside or COMMENT.match(bare) or bare.startswith(("<?xml", "#!", "'use strict'", "package ", "syntax "))):
             break
-        if bare.startswith("/*") or bare.startswith("<!--"):
+        if bare.startswith(("/*", "<!--")):
             inside = True
         if "*/" in bare or "-->" in bare:
             inside = False
-        found.append(bare[:400])
-    for line in reversed(body.rstrip().rsplit("\n", FOOTER_LINES)[-FOOTER_LINES:]):
-        if not COMMENT.match(line):
-            break
-        found.append(line.strip()[:400])
+        found.append(bare)
+    for line in reversed(lines):
+        if line.strip():
+            if not COMMENT.match(line):
+                break
+            found.append(line.strip())
     return found
 
 

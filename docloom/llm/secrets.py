@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -74,6 +75,7 @@ PROSE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|pw|secret|token|creden
 CALL = re.compile(r"\w*[ \t]*\(")
 CALLED = [re.compile(x) for x in ("connect", "dial", "login", "log_in", "logon", "signin", "sign_in", "auth", "open", "bind", "initclient", "init_client", "create_engine")]
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+NEAR = 200
 TOKENS = re.compile(r"[^\s\"'`<>()\[\]{},]+")
 
 
@@ -231,9 +233,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, sort) of each credential, in order, without overlap."""
     found: list[tuple[int, int, str]] = []
     size = len(text)
+    ends = [m.end() for m in KEY_BLOCK_END.finditer(text)] if "-----END " in text else []
     for m in KEY_BLOCK.finditer(text):
-        e = KEY_BLOCK_END.search(text, m.end(), min(size, m.end() + 20_000))
-        found.append((m.start(), e.end() if e else m.end(), "key block"))
+        at = bisect_right(ends, m.end())
+        found.append((m.start(), ends[at] if at < len(ends) else m.end(), "key block"))
     for m in FORMATS.finditer(text):
         if not is_stand_in(m[0]) and entropy(m[0]) > 3.0:
             found.append((*m.span(), "format"))
@@ -296,12 +299,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     found.append((x, y, "named"))
                 continue
         # prose and comments: "password is ...", "used ... as password", "sign in as ... with ..., same password"
-        if PROSE.fullmatch(text, a, b):
-            line_start = text.rfind("\n", 0, a) + 1
-            if line_end - line_start > 400:
-                continue
+        if PROSE.fullmatch(text, a, b) and text[b : b + 1] not in ("(", "[", "{", ".", "=", ";"):
+            # what is said about a password stands near the word; on very long lines the search ends there
+            line_start, line_end = max(text.rfind("\n", 0, a) + 1, a - NEAR), min(line_end, b + NEAR)
             secret_word = w[0][0] == "p"
             for t in TOKENS.finditer(text, line_start, line_end):
+                if text[t.end() : t.end() + 1] in ("(", "[", "{", "<"):
+                    continue
                 value = t[0].rstrip(".,;:!?") if t.end() < line_end and t[0].endswith((",", ";", ":")) else t[0]
                 value = value.rstrip(",;:")
                 near = text[line_start : t.start()].rstrip().lower().endswith((" pass", " password", " pw", " pwd", " passphrase", "password is", "pass is", "pw is", "password:", "pass:", "pw:", "/pass", "/password"))

@@ -24,6 +24,7 @@ CODE = "import os\n\ndef f(a):\n    return a\n" * 6
     [
         ("// Code generated by x-gen v1.2. DO NOT EDIT.\npackage a\n", "notice"), ("### FILE: a.py\n# Copyright of x.\n#\n# Machine made by x; regenerate instead of editing.\n" + CODE, "notice"), (CODE + "\n# Autogenerated with x 3.0 - do not modify\n", "notice"),
         (CODE + "\n# @generated by x from y.schema\n" + "\n" * 5000, "notice"), ("\n" * 300 + "# Code generated by x. DO NOT EDIT.\n" + CODE, "notice"),
+        ("# License text.\n" * 90 + "# Code generated by x. DO NOT EDIT.\n" + CODE, "notice"), ("// " + "x " * 400 + "do not edit\n" + CODE, "notice"),
         ("/*\n * @generated by x from y.schema\n */\nclass A {}\n", "notice"), ("# unlike the generated client, this module is written and edited by hand\n" + CODE, None), ("# auto-generated ids are allowed below\n" + CODE, None),
         (CODE + "x = 1\n# writes the 'do not edit' banner into every output file\n" + CODE, None), (CODE, None), (None, None), ("", None), ("\n\n", None),
         ("function qn(q,n){return q.g(n,17)}var n={r:517,r:\"s\"};" * 60, "minified"), ("X = [\n" + "    0xdeed, 0xd4a8, 0x51d8,\n" * 40 + "]\n", "data"), ("INSERT INTO a VALUES (1, 'x', 2);\n" * 40, "data"),

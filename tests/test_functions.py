@@ -155,3 +155,19 @@ def test_small_texts(spark):
     ).first()
     assert row.s == "ab-c-d-1" and row.c == "abc…" and row.d == "abc" and row.e == "&lt;a b=&#39;c&#39;&gt;&amp;&quot;"
     assert [row.h0, row.h1, row.h2, row.h3] == ["", "a", "a and b", "a, b and c"]
+
+
+def test_yaml_keys():
+    from docloom.operators.checks import yaml_keys
+
+    text = "# c\na:\n  b: 1\n  c:\n    - x: 1\n    d: |\n      not: this\n\n      nor: this\n  e: >-\n    text: no\nf: {g: 1}\n'q': 2\n"
+    assert [k for (k,) in yaml_keys(text)] == ["a", "a.b", "a.c", "a.c.d", "a.e", "f"]
+    assert yaml_keys("") == []
+
+
+def test_grounded(spark):
+    from docloom.operators.checks import grounded
+
+    quotes = spark.createDataFrame([("r", "Big  Word here"), ("r", "absent"), ("s", "big word here"), ("r", None), ("r", "!!")], "g string, q string")
+    texts = spark.createDataFrame([("r", 2, "x BIG word\nHere y"), ("r", 1, "big word, here"), ("r", 3, "a big word here"), ("s", 4, None)], "g string, k long, t string")
+    assert [tuple(r) for r in grounded(quotes, texts, "g", "q", "k", "t").collect()] == [("r", "Big  Word here", 2, 2)]

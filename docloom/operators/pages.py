@@ -15,7 +15,8 @@ from docloom.operators.changes import DECLARATION
 from docloom.session import table
 
 WORD = r"([A-Za-z_][A-Za-z0-9_]*)"
-IDENTIFIER = r"([A-Za-z]+[a-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*)"
+TOKEN = r"([A-Za-z0-9_]+)"
+IDENTIFIER = r"^(?:[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*)$"
 # Endings of files that hold secrets.
 SECRET_PATH = r"[A-Za-z0-9_./-]*(?:\.env(?:\.[a-z]+)?|\.pem|\.key|\.p12|\.jks|id_rsa)\b"
 FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---"
@@ -56,9 +57,10 @@ def declared_coverage(spark, sf_dir: str) -> DataFrame:
 
 
 def new_identifiers(spark, sf_dir: str) -> DataFrame:
-    """Identifiers that a page's new text has and the published one has not."""
+    """Identifiers that a page's new text has and the published one has not. Words are cut first and judged one by
+    one: a pattern that searches for identifiers in the text is quadratic in long runs of letters."""
     units = table(spark, sf_dir, "change_units").where("kind = 'docs' and after is not null")
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(IDENTIFIER), F.lit(1)))
+    tokens = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(1))), lambda w: w.rlike(IDENTIFIER))
     return units.select("change_id", F.explode(F.array_except(tokens(F.col("after")), tokens(F.col("existing")))).alias("identifier"))
 
 
@@ -84,7 +86,8 @@ def scoped_changes(spark, sf_dir: str) -> DataFrame:
 def redacted_paths(spark, sf_dir: str) -> DataFrame:
     """Documents that name files holding secrets, with a digest of the text without these names."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.regexp_count("text", F.lit(SECRET_PATH)).cast("long").alias("paths"), F.md5(F.regexp_replace("text", SECRET_PATH, "[path removed]")).alias("digest"))
+    whole = r"(?<![A-Za-z0-9_./-])" + SECRET_PATH  # a run is tried from its start only, which keeps the search linear
+    return docs.select("doc_id", F.regexp_count("text", F.lit(whole)).cast("long").alias("paths"), F.md5(F.regexp_replace("text", whole, "[path removed]")).alias("digest"))
 
 
 def worst_attempt(spark, sf_dir: str) -> DataFrame:
@@ -169,7 +172,7 @@ SQL = {
     "page_of_file": f"WITH d AS (SELECT DISTINCT repo, {_PATH.format('path')} AS page FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL), f AS (SELECT DISTINCT repo, {_PATH.format('source_path')} AS file FROM repo_facts WHERE source_path <> '' AND NOT starts_with(source_path, '@')) SELECT f.repo, f.file, count(*) AS pages, CASE WHEN bool_or(page = file) THEN file WHEN count(*) = 1 THEN min(page) END AS page FROM f JOIN d ON d.repo = f.repo AND (page = file OR ends_with(page, '/' || file)) GROUP BY 1, 2",
     "front_matter": r"WITH b AS (SELECT doc_id, regexp_extract(text, '(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---', 1) AS f FROM documents WHERE text IS NOT NULL) SELECT doc_id, trim(regexp_extract(f, '(?m)^title:[ \t]*([^\r\n]*)', 1)) AS title, trim(regexp_extract(f, '(?m)^repo_commit:[ \t]*([^\r\n]*)', 1)) AS repo_commit FROM b",
     "declared_coverage": f"WITH n AS (SELECT change_id, list_distinct(regexp_extract_all(after, '{_DECL}', 1)) AS names, regexp_extract_all(coalesce(existing, ''), '{WORD}', 1) AS w FROM change_units WHERE kind = 'code' AND after IS NOT NULL) SELECT change_id, CAST(len(names) AS BIGINT) AS declared, CAST(len(list_intersect(names, w)) AS BIGINT) AS covered, round(len(list_intersect(names, w)) / nullif(len(names), 0), 9) AS share FROM n",
-    "new_identifiers": f"WITH u AS (SELECT change_id, list_distinct(regexp_extract_all(after, '{IDENTIFIER}', 1)) AS a, regexp_extract_all(coalesce(existing, ''), '{IDENTIFIER}', 1) AS e FROM change_units WHERE kind = 'docs' AND after IS NOT NULL) SELECT change_id, unnest(list_filter(a, lambda x: NOT list_contains(e, x))) AS identifier FROM u",
+    "new_identifiers": f"WITH u AS (SELECT change_id, list_filter(list_distinct(regexp_extract_all(after, '{TOKEN}', 1)), lambda w: regexp_matches(w, '{IDENTIFIER}')) AS a, regexp_extract_all(coalesce(existing, ''), '{TOKEN}', 1) AS e FROM change_units WHERE kind = 'docs' AND after IS NOT NULL) SELECT change_id, unnest(list_filter(a, lambda x: NOT list_contains(e, x))) AS identifier FROM u",
     "clean_files": r"WITH f AS (SELECT change_id, trim(f) AS f, i FROM (SELECT change_id, unnest(changedFiles) AS f, generate_subscripts(changedFiles, 1) AS i FROM change_units WHERE len(changedFiles) > 0)), g AS (SELECT change_id, f, min(i) AS i FROM f WHERE f <> '' AND NOT starts_with(f, '/') AND NOT regexp_matches(f, '(^|/)\.\.(/|$)') GROUP BY 1, 2), r AS (SELECT change_id, row_number() OVER w AS n, sum(strlen(f)) OVER w AS b FROM g WINDOW w AS (PARTITION BY change_id ORDER BY i ROWS UNBOUNDED PRECEDING)), k AS (SELECT change_id, max(n) AS n, max(b) AS b FROM r WHERE n <= 200 AND b <= 16384 GROUP BY 1) SELECT u.change_id, CAST(coalesce(k.n, 0) AS BIGINT) AS files, CAST(coalesce(k.b, 0) AS BIGINT) AS bytes FROM (SELECT change_id FROM change_units WHERE len(changedFiles) > 0) u LEFT JOIN k USING (change_id)",
     "scoped_changes": rf"""WITH f AS (SELECT change_id, {_PATH.format('f')} AS p FROM (SELECT change_id, unnest(changedFiles) AS f FROM change_units WHERE len(changedFiles) > 0)),
         m AS (SELECT change_id, regexp_matches(p, '^src/.*$|^api/.*$|^lib/.*$|^(?:.*/)?[^/]*\.go$') AS s, regexp_matches(p, '^(?:.*/)?[^/]*\.min\.js$|^(?:.*/)?vendor/.*$|^(?:.*/)?generated/.*$') AS x FROM f)

@@ -198,7 +198,6 @@ SEPARATOR = re.compile(r"[\"'`\])]*[ \t]*(?::[ \t]*(?:str|string|String|&str|cha
 ATTRIBUTE = re.compile(r"[\"'][ \t]+(?:value|val|default|content)[ \t]*=[ \t]*(?=[\"'])|[\"'][ \t]*,[ \t]*[\"']?(?:value|val|default)[\"']?[ \t]*[:=][ \t]*(?=[\"'])")
 ELEMENT = re.compile(r"[\"']?>[ \t]*(?=[^<\s])")
 CLAUSE = re.compile(r"[ \t]+(?:AS[ \t]+)?(?=')")
-SPACE = re.compile(r"[ \t]+(?:is|was|=)?[ \t]*")
 OPTION = re.compile(r"[ \t]+|=")
 NEXT_LINE = re.compile(r"[ \t]*\(?[ \t]*\r?\n[ \t]*(?=[\"'])")
 TF_DEFAULT = re.compile(r"[^{}]*?\bdefault[ \t]*=[ \t]*(?=[\"'])")

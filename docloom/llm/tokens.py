@@ -32,11 +32,6 @@ SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}\p{M}])(?=[ \n])")
 _encoders: dict[int, object] = {}
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-
-
 def encoder(content: bytes):
     """The encoder of a rank file's content, built once per process."""
     import tiktoken

@@ -16,10 +16,12 @@ same findings; lines are counted over line feeds from 1, a header line included.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,6 +79,22 @@ CALLED = [re.compile(x) for x in ("connect", "dial", "login", "log_in", "logon",
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 NEAR = 200
 TOKENS = re.compile(r"[^\s\"'`<>()\[\]{},]+")
+#: Candidates under any name or none: quoted strings without blanks, and runs of the characters that keys are written in.
+QUOTED = re.compile(r"([\"'`])([!#-&*-+\--9=?-Z^_a-z~]{16,})\1")
+LONG = re.compile(r"[A-Za-z0-9+/_\-.~]{16,}={0,2}")
+KINDS = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+#: A longer string that no name calls a credential is encoded data, unless it decodes to a private key.
+DATA_FROM, WRAPPED_AT = 257, 64
+# Endings of names that say how a value is written; words that suit a credential; last words of names of other random values.
+ENCODED = {"b", "base", "enc", "encoded", "data"}
+HINT = re.compile(r"(?i)hmac|seed|salt|secret|cred|pass|pwd|token|auth|(?:private|signing|encryption|client|access|api|master)[_\-.]?key")
+NOT_SECRET = re.compile(
+    r"(?i)(?:hash|digest|checksum|crc|sha\d*|md5|sum|integrity|etag|fingerprint|thumbprint|commit|rev|revision|ref|uuid|guid|ids?|cert(?:ificate)?|ca|public|pub|public[_\-.]?key|cursor|sig|signature|version|url|uri|path|file|name|image|icon|font|src|href|trace|span|request|build|mappings)$"
+)
+NAME_BEFORE = re.compile(r"([A-Za-z_][\w.\-]*)(?:[\"'`\])]*[ \t]*(?::=|=>|=|:)[ \t]*(?:[\w.]*\([ \t]*)?[bru]?[\"'`]?|>[ \t]*)$")
+DIGEST_BEFORE = re.compile(r"(?i)(?:\b(?:sha\d+|md5|h1|crc32)[:\-]|base64,|\b(?:ssh-\w+|ecdsa-sha2-\w+)[ \t]+)$")
+ADDRESS_BEFORE = re.compile(r"://[^\s\"'`]*$")
+PUBLIC_BLOCK = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PRIVATE)[A-Z0-9 ]+-----[^\-]*(?:-----END [A-Z0-9 ]+-----)?")
 
 
 def alphabet(value: str) -> tuple[str, float]:
@@ -147,6 +165,72 @@ def looks_made_up(value: str) -> bool:
     return 8 <= len(value) <= 64 and any(c.isalpha() for c in value) and len(re.findall(r"\d", value)) >= 2 and not re.search(r"\.\w+\.|[/\\:]|\.\w{1,6}$|^v?\d", value) and not is_stand_in(value) and not is_other(value) and not HASH.match(value)
 
 
+def decoded(value: str) -> str:
+    """What a base64 value begins with."""
+    head = value[: min(len(value), 96) // 4 * 4]
+    try:
+        return base64.b64decode(head).decode("latin-1")
+    except ValueError:
+        return ""
+
+
+def is_blob(value: str, name: str, size: int) -> bool:
+    """One encoded literal that makes up the text is data stored as code, unless its name is plain."""
+    return len(value) >= DATA_FROM and len(value) > 0.6 * size and not STRONG.search(name) and not value.startswith("LS0t")
+
+
+def looks_random(value: str, hint: bool) -> bool:
+    """Random characters by their entropy, under any name or none. Small letters, capitals and digits must
+    alternate as in no identifier; hexadecimal numbers are identifiers unless the name suits a credential."""
+    n = len(value)
+    if n < (16 if hint else 20) or is_stand_in(value) or is_other(value):
+        return False
+    if value.startswith("LS0t"):
+        begun = decoded(value)
+        if begun.startswith("-----BEGIN"):
+            return "PRIVATE KEY" in begun
+    if n >= DATA_FROM and not hint:
+        return False
+    share = 0.7 if hint else 0.8
+    if HEX.match(value):
+        return hint and n >= 24 and entropy(value) >= threshold(value, share)
+    if HASH.match(value):
+        return False
+    kinds = value.translate(KINDS)
+    if not ("a" in kinds and "A" in kinds and "0" in kinds) or sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) < (0.3 if hint else 0.35) * n:
+        return False
+    return entropy(value) >= threshold(value, share)
+
+
+def unnamed(text: str) -> list[tuple[int, int]]:
+    """Quoted strings and long tokens that are random, whatever their name, unless the name or what stands
+    before them says that they are something else."""
+    out: list[tuple[int, int]] = []
+    blocks = [m.span() for m in PUBLIC_BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    for pattern, group in ((QUOTED, 2), (LONG, 0)):
+        for m in pattern.finditer(text):
+            value = m[group]
+            if not looks_random(value, True):  # the lower bar first, before anything is looked up
+                continue
+            a, b = m.span(group)
+            if any(x <= a < y for x, y in blocks):
+                continue
+            line = text.rfind("\n", 0, a) + 1
+            before = text[max(line, a - 200) : a]
+            if DIGEST_BEFORE.search(before) or ADDRESS_BEFORE.search(before):
+                continue
+            name = NAME_BEFORE.search(before)
+            if name and NOT_SECRET.search(name[1]):
+                continue
+            if not before.strip() and b - a >= WRAPPED_AT and text[b : b + 1] in ("", "\r", "\n") and not value.startswith("LS0t"):
+                continue  # a line of wrapped data
+            if is_blob(value, name[1] if name else "", len(text)):
+                continue
+            if looks_random(value, bool(name and HINT.search(name[1]))):
+                out.append((a, b))
+    return out
+
+
 def name_of(text: str, a: int, b: int) -> tuple[int, int]:
     """The identifier around a match."""
     while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-.$"):
@@ -160,7 +244,7 @@ def names_credential(name: str) -> bool:
     """The last word of the name tells: ``db_password`` does, ``password_hint`` and ``token.limit`` don't."""
     last = re.split(r"[.$]", name)[-1]
     words = [w.lower() for w in SPLIT.findall(last)]
-    while words and words[-1].isdigit():
+    while words and (words[-1].isdigit() or len(words) > 1 and words[-1] in ENCODED):
         words.pop()
     if not words:
         return False
@@ -317,6 +401,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if looks_issued(m[2]) or looks_made_up(m[2]) and (not m[2].isalnum() or classes(m[2]) >= 3):
                 found.append((*m.span(2), "call"))
     found.sort(key=lambda x: (x[0], -x[1]))
+    if loose := unnamed(text):
+        taken = sorted((a, b) for a, b, _ in found)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        # what another rule has found in part keeps that rule's bounds
+        found += [(a, b, "random") for a, b in loose if not (i := bisect_left(starts, b)) or reach[i - 1] <= a]
+        found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str]] = []
     for a, b, sort in found:
         if kept and a < kept[-1][1]:

@@ -77,7 +77,10 @@ PROSE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|pw|secret|token|creden
 CALL = re.compile(r"\w*[ \t]*\(")
 CALLED = [re.compile(x) for x in ("connect", "dial", "login", "log_in", "logon", "signin", "sign_in", "auth", "open", "bind", "initclient", "init_client", "create_engine")]
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: What is said about a password stands in the same sentence or clause, or this near.
 NEAR = 200
+CLAUSE_END = re.compile(r"[.!?](?=[\s\"'`)]|$)|[;{}。！？]|\\[nrt]|[\"'](?=[ \t]*[,:\])}])|[\[(,:][ \t]*(?=[\"'])")
+SCAN = re.compile(r"\\.|([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1|[()]")
 TOKENS = re.compile(r"[^\s\"'`<>()\[\]{},]+")
 #: Candidates under any name or none: quoted strings without blanks, and runs of the characters that keys are written in.
 QUOTED = re.compile(r"([\"'`])([!#-&*-+\--9=?-Z^_a-z~]{16,})\1")
@@ -135,10 +138,12 @@ def is_other(value: str) -> bool:
 def plausible(value: str, strong: bool) -> bool:
     """A value under a credential's name."""
     n = len(value)
-    if n < (5 if strong else 12) or n > 300 or is_stand_in(value) or is_other(value) or "://" in value:
+    if n < (5 if strong else 12) or is_stand_in(value) or is_other(value) or "://" in value:
         return False
     if " " in value:
         return False
+    if n > 300 and alphabet(value)[0] == "print" and entropy(value) < threshold(value, 0.85):
+        return False  # of this length only code and text show so little
     if value.endswith(("(", "{", "[")) or re.fullmatch(r"[\w.]+\(.*\)?;?", value):
         return False
     if not strong and HASH.match(value) and not HEX.match(value):
@@ -312,6 +317,44 @@ def value_at(text: str, pos: int, line_end: int, limit: int) -> tuple[int, int,
     return None
 
 
+def arguments(text: str, small: str) -> list[tuple[int, int]]:
+    """Quoted strings between the parentheses of calls that sign in, over line feeds; a call that nothing
+    closes has those on its line. One pass: each string and parenthesis is read once."""
+    opens = sorted({c.end() - 1 for stem in CALLED for f in stem.finditer(small) if (c := CALL.match(text, f.end()))})
+    strings: list[tuple[int, int]] = []
+    depth: list[int] = []  # +1 where a call's strings begin, -1 after its last
+    stack: list[tuple[int, int]] = []
+    k, pos = 0, opens[0] if opens else len(text)
+
+    def close(first: int, last: int) -> None:
+        depth.extend([0] * (last + 1 - len(depth)))
+        depth[first] += 1
+        depth[last] -= 1
+
+    while m := SCAN.search(text, pos):
+        while k < len(opens) and opens[k] < m.start():
+            k += 1
+        pos = m.end()
+        if m[0] == "(":
+            called = k < len(opens) and opens[k] == m.start()
+            stack.append((m.start() if called else -1, len(strings)))
+        elif m[0] == ")":
+            if stack:
+                opened, first = stack.pop()
+                if opened >= 0:
+                    close(first, len(strings))
+        elif k < len(opens) and opens[k] < m.end():
+            pos = opens[k]  # a call within quotes, or quotes that are none: its own strings begin at its parenthesis
+        elif m[1]:
+            strings.append(m.span(2))
+    begins = [a for a, _ in strings]
+    for opened, first in stack:
+        if opened >= 0:
+            line_end = text.find("\n", opened)
+            close(first, bisect_left(begins, len(text) if line_end < 0 else line_end, first))
+    return [s for s, n in zip(strings, accumulate(depth), strict=False) if n > 0]
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, sort) of each credential, in order, without overlap."""
     found: list[tuple[int, int, str]] = []
@@ -341,6 +384,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if word in small:
             found += [(*m.span(1), "given") for m in pattern.finditer(text) if plausible(m[1], True)]
     seen: set[int] = set()
+    lines: dict[int, tuple[list[int], list[int], list[int]]] = {}
+    told: set[tuple[int, int, bool]] = set()
     for w in (w for stem in STEMS for w in stem.finditer(small)):
         a, b = name_of(text, w.start(), w.end())
         if a in seen:
@@ -378,28 +423,36 @@ def find(text: str) -> list[tuple[int, int, str]]:
                         value = value.split(";", 1)[0]
                     value = value.rstrip(")}]") if value.count("(") < value.count(")") or value.endswith(("}", "]")) else value
                     y = x + len(value)
-                if plausible(value, sort):
+                if plausible(value, sort) and not is_blob(value, name, size):
                     found.append((x, y, "named"))
                 continue
         # prose and comments: "password is ...", "used ... as password", "sign in as ... with ..., same password"
         if PROSE.fullmatch(text, a, b) and text[b : b + 1] not in ("(", "[", "{", ".", "=", ";"):
-            # what is said about a password stands near the word; on very long lines the search ends there
-            line_start, line_end = max(text.rfind("\n", 0, a) + 1, a - NEAR), min(line_end, b + NEAR)
-            secret_word = w[0][0] == "p"
-            for t in TOKENS.finditer(text, line_start, line_end):
-                if text[t.end() : t.end() + 1] in ("(", "[", "{", "<"):
+            line_start, secret_word = text.rfind("\n", 0, a) + 1, w[0][0] == "p"
+            if line_start not in lines:
+                spans = [t.span() for t in TOKENS.finditer(text, line_start, line_end)]
+                lines[line_start] = [x for x, _ in spans], [y for _, y in spans], [m.end() for m in CLAUSE_END.finditer(text, line_start, line_end)]
+            starts, stops, clauses = lines[line_start]
+            at = bisect_right(clauses, a)
+            clause = clauses[at - 1] if at else line_start, clauses[at] if at < len(clauses) else line_end
+            for x, y in [(a - NEAR, b + NEAR), clause]:
+                if (x, y, secret_word) in told:
                     continue
-                value = t[0].rstrip(".,;:!?") if t.end() < line_end and t[0].endswith((",", ";", ":")) else t[0]
-                value = value.rstrip(",;:")
-                near = text[line_start : t.start()].rstrip().lower().endswith((" pass", " password", " pw", " pwd", " passphrase", "password is", "pass is", "pw is", "password:", "pass:", "pw:", "/pass", "/password"))
-                if looks_issued(value) or near and plausible(value, True) or secret_word and looks_made_up(value):
-                    found.append((t.start(), t.start() + len(value), "prose"))
-    for c in (c for stem in CALLED for f in stem.finditer(small) if (c := CALL.match(text, f.end()))):
-        line_end = text.find("\n", c.end())
-        line_end = size if line_end < 0 else line_end
-        for m in LITERAL.finditer(text, c.end(), min(line_end, c.end() + 300)):
-            if looks_issued(m[2]) or looks_made_up(m[2]) and (not m[2].isalnum() or classes(m[2]) >= 3):
-                found.append((*m.span(2), "call"))
+                told.add((x, y, secret_word))
+                # every token that the stretch touches, in full
+                for t0, t1 in zip(starts[(i := bisect_right(stops, x)) : (j := bisect_left(starts, y))], stops[i:j], strict=True):
+                    if text[t1 : t1 + 1] in ("(", "[", "{", "<"):
+                        continue
+                    value = text[t0:t1]
+                    value = value.rstrip(".,;:!?") if t1 < line_end and value.endswith((",", ";", ":")) else value
+                    value = value.rstrip(",;:")
+                    near = text[max(line_start, t0 - 64) : t0].rstrip().lower().endswith((" pass", " password", " pw", " pwd", " passphrase", "password is", "pass is", "pw is", "password:", "pass:", "pw:", "/pass", "/password"))
+                    if looks_issued(value) or near and plausible(value, True) or secret_word and looks_made_up(value):
+                        found.append((t0, t0 + len(value), "prose"))
+    for a, b in arguments(text, small):
+        value = text[a:b]
+        if looks_issued(value) or looks_made_up(value) and (not value.isalnum() or classes(value) >= 3):
+            found.append((a, b, "call"))
     found.sort(key=lambda x: (x[0], -x[1]))
     if loose := unnamed(text):
         taken = sorted((a, b) for a, b, _ in found)

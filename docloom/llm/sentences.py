@@ -6,7 +6,9 @@ or parenthesis, or its period belongs to an abbreviation, an ordinal or a number
 
 What is an abbreviation is learnt, not only listed: a period followed by a small letter is unambiguous
 evidence for one, a period at a block's end against one that never closes a sentence. A document's own
-evidence decides where it has any; else the counts over the whole corpus, collected in a first pass, do.
+evidence decides where it is unambiguous; else the counts over the whole corpus do. They are summed and
+judged in Spark in a first pass and come back to each document by a join with the tokens that stand before
+its periods, so no number of distinct tokens reaches the driver or every task.
 A capitalised word after an abbreviation that may close a sentence begins a new one unless the document
 shows it to be a proper name.
 
@@ -222,17 +224,21 @@ class Abbreviations:
             return None
         if len(key) == 1 and (before[:1].isdigit() or not key.isalpha()):
             return None  # a unit after a number: "after 833 h."
-        if key in self.corpus:
-            sense = self.corpus[key]
-            return None if sense == "word" else sense
+        listed = "closing" if key in CLOSING else "inner" if key in INNER else None
+        sense = self.corpus.get(key, listed)
         seen = own.get(key)  # a capital after it tells nothing; small letters do, and a block's end against it
-        if seen and (len(key) <= 4 or "." in key) and seen["lower"] >= 2 and seen["name"] + seen["other"] + seen["end"] == 0:
-            return "inner"
-        if key in CLOSING:
-            return "closing"
-        if key in INNER:
-            return "inner"
-        return None
+        enough = 2 if len(key) <= 4 or "." in key else 3  # long tokens are rarely abbreviations
+        if seen and seen["lower"] >= enough and seen["name"] + seen["other"] + seen["end"] == 0 and capitalises(own):
+            return sense if sense in ("inner", "closing") else "inner"  # of which sort it is the document doesn't tell
+        if seen and seen["end"] >= 2 and seen["lower"] + seen["digit"] == 0 and sense != "closing":
+            return None
+        return None if sense == "word" else sense
+
+
+def capitalises(own: dict[str, Counter]) -> bool:
+    """Sentences begin with capitals: more different tokens stand before them than before small letters.
+    Else, in a text in small letters, a small letter after a period tells nothing."""
+    return sum(c["upper"] > 0 for c in own.values()) >= sum(c["lower"] > 0 for c in own.values())
 
 
 def classify(counts: dict[str, dict[str, int]]) -> dict[str, str]:
@@ -354,44 +360,68 @@ def units(text: str | None, known: Abbreviations) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
-def corpus_evidence(docs: DataFrame, text: str) -> dict[str, str]:
-    """Abbreviation classes over all documents. Only keys above a fixed share of all periods come to the
-    driver, so their number is bounded (at most 50,000) however large the corpus is."""
-    schema = pa.schema([("key", pa.string()), ("sort", pa.string()), ("n", pa.int64())])
+SORTS = ("lower", "digit", "upper", "name", "other", "end")
 
-    def run(rows: pa.RecordBatch):
+
+def corpus_classes(docs: DataFrame, text: str) -> DataFrame:
+    """(k, sense): the abbreviation classes over all documents. ``word`` is left out: no listed key gets it, and
+    for others it says what a missing class says."""
+    schema = pa.schema([("k", pa.string()), ("sort", pa.string()), ("n", pa.int64())])
+    classes = pa.schema([("k", pa.string()), ("sense", pa.string())])
+
+    def count(rows: pa.RecordBatch):
         seen: Counter = Counter()
         for t in rows.column(0).to_pylist():
             if t:
                 seen.update(evidence(t))
         yield batch(schema, [k for k, _ in seen], [s for _, s in seen], list(seen.values()))
 
-    sorts = ("lower", "digit", "upper", "name", "other", "end")
-    counted = map_batches(spread(docs.select(F.col(text).cast("string"))), run, "key string, sort string, n long").groupBy("key").pivot("sort", list(sorts)).agg(F.sum("n")).na.fill(0)
-    counted = counted.withColumn("total", F.expr("+".join(sorts))).cache()
-    # all keys of a corpus share its periods: those with 1/50,000 of them or more are at most 50,000
-    every = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    frequent = counted.where(F.col("total") * 50_000 >= every).where("lower > 0 or digit > 0 or key rlike '[.]'").collect()
-    counted.unpersist()
-    return classify({r["key"]: {s: r[s] for s in sorts} for r in frequent})
+    def judge(rows: pa.RecordBatch):
+        found = classify({r["k"]: {s: r[s] for s in SORTS} for r in rows.to_pylist()})
+        kept = [(k, sense) for k, sense in found.items() if sense != "word"]
+        yield batch(classes, [k for k, _ in kept], [sense for _, sense in kept])
+
+    counted = map_batches(spread(docs.select(F.col(text).cast("string"))), count, "k string, sort string, n long").groupBy("k").pivot("sort", list(SORTS)).agg(F.sum("n")).na.fill(0)
+    return map_batches(counted, judge, "k string, sense string")
+
+
+LOOKED_UP = re.compile(rf"\.(?=[\s{re.escape(CLOSERS)}{STRONG}]|$)")
+PARTS = re.compile(f"[{re.escape(CLOSERS)}{STRONG}!?…]")
+
+
+def lookups(text: str) -> set[str]:
+    """All keys that ``cut`` may look up, wherever in the text its units begin."""
+    keys: set[str] = set()
+    for m in LOOKED_UP.finditer(text):
+        key, _ = key_before(text, 0, m.start())
+        last = text[max(0, m.start() - 40) : m.start()].split()[-1:]
+        tail = last[0].lower() if last else ""
+        keys |= {key, tail.lstrip(TRIM_LEFT), PARTS.split(tail)[-1].lstrip(TRIM_LEFT)}
+    return {k for k in keys if 0 < len(k) <= 8 and k[0].isalpha()}
 
 
 def split(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_at, end_at) of every unit of every document."""
-    classes = docs.sparkSession.sparkContext.broadcast(corpus_evidence(docs, text))
     schema = pa.schema([(key, pa.int64()), ("start_at", pa.int64()), ("end_at", pa.int64())])
+    pairs = pa.schema([("id", pa.int64()), ("k", pa.string())])
+
+    def ask(rows: pa.RecordBatch):
+        asked = [(i, k) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if t for k in lookups(t)]
+        yield batch(pairs, [i for i, _ in asked], [k for _, k in asked])
 
     def run(rows: pa.RecordBatch):
-        known = Abbreviations(classes.value)
         keys, starts, ends = [], [], []
-        for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            for a, b in units(t, known):
+        for k, t, senses in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for a, b in units(t, Abbreviations(dict(senses or ()))):
                 keys.append(k)
                 starts.append(a)
                 ends.append(b)
         yield batch(schema, keys, starts, ends)
 
-    return map_batches(spread(docs.select(F.col(key).cast("long"), F.col(text).cast("string"))), run, f"`{key}` long, start_at long, end_at long")
+    texts = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")))
+    known = map_batches(texts, ask, "id long, k string").join(corpus_classes(docs, text), "k").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("k", "sense"))).alias("senses"))
+    met = texts.join(known.withColumnRenamed("id", "id_"), F.col("id").eqNullSafe(F.col("id_")), "left").select("id", "t", "senses")
+    return map_batches(met, run, f"`{key}` long, start_at long, end_at long")
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,26 @@ def test_learnt_abbreviations():
     assert cut("Own qrs. here and qrs. there, qrs. Then. No") == ["Own qrs. here and qrs. there, qrs. Then.", "No"]
 
 
+def test_own_evidence_before_the_corpus():
+    own = "Own qrs. here and qrs. there, qrs. Then. No"
+    assert cut(own, S.Abbreviations({"qrs": "word"})) == cut(own)
+    assert cut("A longish. here, longish. there and longish. then, longish. Then. No", S.Abbreviations({"longish": "word"})) == ["A longish. here, longish. there and longish. then, longish. Then.", "No"]
+    ends = "It is a xyz. The rest.\n\nOne xyz.\n\nTwo xyz.\n\nA"
+    assert cut(ends, S.Abbreviations({"xyz": "inner"})) == ["It is a xyz.", "The rest.", "One xyz.", "Two xyz.", "A"]
+    assert cut("one ends it. two ends it. three ends it. four", S.Abbreviations({"it": "word"})) == ["one ends it.", "two ends it.", "three ends it.", "four"]
+
+
+def test_classes_of_rare_keys(spark):
+    rows = [(i, "We stop. Then stop. On stop. " * 2000) for i in range(200)] + [(1000 + i, f"See klm. part{i % 2} and klm. more.") for i in range(25)] + [(2000, "The klm. Part is. Now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.k: r.sense for r in S.corpus_classes(df, "text").collect()} == {"klm": "inner"}
+    assert [(r.start_at, r.end_at) for r in S.split(df, "doc_id", "text").where("doc_id = 2000").orderBy("start_at").collect()] == [(0, 17), (18, 21)]
+
+
+def test_all_keys_are_looked_up():
+    assert {"qrs", "abc"} <= S.lookups("First.» qrs. two 中文。abc.” End") and "z.b" in S.lookups("so z. b. da")
+
+
 def test_positions_and_long_texts():
     text = "😀 One. " * 20_000
     found = S.units(text, KNOWN)

@@ -1,6 +1,6 @@
 """Vector retrieval under filters, floors and budgets.
 
-Queries are a stated set (every id divisible by 20). They are brought to the stored vectors in blocks of
+Queries are a stated set (every id divisible by 20), but for ``page_similarity``, which asks all chunks. They are brought to the stored vectors in blocks of
 bounded size; each task scores its stored vectors against a block and keeps the best k per query, and the
 tasks' short lists are merged. Nothing is paired that does not share the filter's keys.
 """
@@ -19,6 +19,7 @@ from docloom.session import table
 
 DIMENSION = 64
 QUERY_BLOCK = 4096
+PACK = 512
 
 
 def usable(points: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def semantic_hits(spark, sf_dir: str, k: int = 6, floor: float = 0.2) -> DataFra
 
 
 def chunk_similarity(spark, sf_dir: str) -> DataFrame:
-    """Per page of the queries: the least, over its chunks, of the greatest similarity to an approved chunk of
+    """Per page of the query set: the least, over its chunks in the set, of the greatest similarity to an approved chunk of
     the repository; 0 where there is none. High values mark pages that say nothing new."""
     points = table(spark, sf_dir, "vector_points")
     asked_ = asked(usable(points)).where("kind <> 'approved'")
@@ -131,6 +132,37 @@ def chunk_similarity(spark, sf_dir: str) -> DataFrame:
     return pages.join(best, "query_id", "left").groupBy("repo", "path").agg(F.round(F.min(F.coalesce("score", F.lit(0.0))), 6).alias("similarity"))
 
 
+def packed(points: DataFrame, name: str) -> DataFrame:
+    """(repo, ids, numbers): vectors of a repository in blocks of about PACK, so that a large one is many rows."""
+    sizes = points.groupBy("repo").agg(F.ceil(F.count("*") / PACK).alias("blocks"))
+    rows = points.join(sizes, "repo").groupBy("repo", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))).alias("rows"))
+    return rows.select("repo", F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.e").alias(f"{name}_x"))
+
+
+def most_similar(asked_: DataFrame, stored: DataFrame) -> DataFrame:
+    """(query_id, score): the greatest cosine of each query to a stored vector of its repository. Blocks meet
+    blocks by a join on the repository; nothing comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, (q, x) = np.asarray(b.column(0)[i].values), (unit(np.asarray(b.column(j)[i].values).astype(np.float64).reshape(-1, DIMENSION)) for j in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((q @ x.T).max(axis=1))], names=["query_id", "score"])
+
+    met = packed(asked_, "q").join(packed(stored, "s").drop("s_ids"), "repo").select("q_ids", "q_x", "s_x")
+    return met.mapInArrow(run, "query_id long, score double").groupBy("query_id").agg(F.max("score").alias("score"))
+
+
+def page_similarity(spark, sf_dir: str) -> DataFrame:
+    """Per page: the least, over all its chunks, of the greatest similarity to an approved chunk of the
+    repository; 0 where there is none. High values mark pages that say nothing new."""
+    points = usable(table(spark, sf_dir, "vector_points"))
+    asked_ = points.where("kind <> 'approved'")
+    best = most_similar(asked_.where("repo is not null"), points.where("kind = 'approved' and repo is not null"))
+    pages = asked_.select(F.col("vec_id").cast("long").alias("query_id"), "repo", "path")
+    return pages.join(best, "query_id", "left").groupBy("repo", "path").agg(F.round(F.min(F.coalesce("score", F.lit(0.0))), 6).alias("similarity"))
+
+
 def budget_prefix(spark, sf_dir: str, budget: int = 30_000) -> DataFrame:
     """Documents per repository, newest first, until the next would exceed the budget of characters. Each
     kept text has at least one character, so no more than ``budget`` rows of a repository can be kept: only so
@@ -147,7 +179,7 @@ def word_vectors(spark, sf_dir: str) -> DataFrame:
     return slots(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text").select("doc_id", F.col("slot").cast("long").alias("slot"), "n")
 
 
-QUERIES = {f.__name__: f for f in (nearest_filtered, nearest_embeddings, best_per_point, semantic_hits, priority_merge, chunk_similarity, budget_prefix, word_vectors)}
+QUERIES = {f.__name__: f for f in (nearest_filtered, nearest_embeddings, best_per_point, semantic_hits, priority_merge, chunk_similarity, page_similarity, budget_prefix, word_vectors)}
 _P = "p AS (SELECT vec_id, repo, path, kind, CAST(embedding AS DOUBLE[]) AS e FROM vector_points WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0)"
 
 
@@ -162,6 +194,7 @@ SQL = {
     "semantic_hits": f"WITH {_P}, {_hits('h', 12, 'q.repo = b.repo')} SELECT query_id, place, vec_id FROM (SELECT h.query_id, h.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h JOIN vector_points v USING (vec_id) WHERE v.kind = 'brief' OR h.score >= 0.2) WHERE place <= 6",
     "priority_merge": f"WITH {_P}, {_hits('a', 5, 'q.repo = b.repo AND q.kind = b.kind')}, {_hits('b2', 5, 'q.repo = b.repo')}, u AS (SELECT query_id, vec_id, min(s * 100 + rank) AS o FROM (SELECT 1 AS s, * FROM a UNION ALL SELECT 2 AS s, * FROM b2) GROUP BY 1, 2) SELECT query_id, place, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM u) WHERE place <= 8",
     "chunk_similarity": f"WITH {_P}, b AS (SELECT q.vec_id, q.repo, q.path, max(list_cosine_similarity(q.e, a.e)) AS s FROM p q LEFT JOIN p a ON a.repo = q.repo AND a.kind = 'approved' WHERE q.vec_id % 20 = 0 AND q.kind <> 'approved' GROUP BY 1, 2, 3) SELECT repo, path, round(min(coalesce(s, 0)), 6) AS similarity FROM b GROUP BY 1, 2",
+    "page_similarity": f"WITH {_P}, b AS (SELECT q.vec_id, q.repo, q.path, max(list_cosine_similarity(q.e, a.e)) AS s FROM p q LEFT JOIN p a ON a.repo = q.repo AND a.kind = 'approved' WHERE q.kind <> 'approved' GROUP BY 1, 2, 3) SELECT repo, path, round(min(coalesce(s, 0)), 6) AS similarity FROM b GROUP BY 1, 2",
     "budget_prefix": "SELECT repo, doc_id, CAST(chars AS BIGINT) AS chars FROM (SELECT repo, doc_id, sum(n_chars) OVER (PARTITION BY repo ORDER BY updated_at DESC NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS chars FROM documents WHERE n_chars > 0 AND repo IS NOT NULL) WHERE chars <= 30000",
     "word_vectors": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS word FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), d AS (SELECT word, list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(string_split(word, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 64) AS slot FROM (SELECT DISTINCT word FROM c)) SELECT doc_id, slot, CAST(sum(n) AS BIGINT) AS n FROM c JOIN d USING (word) GROUP BY 1, 2",
 }

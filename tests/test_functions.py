@@ -165,6 +165,19 @@ def test_yaml_keys():
     assert yaml_keys("") == []
 
 
+def test_page_similarity_asks_all_chunks(spark, tmp_path):
+    from docloom.operators.retrieval import page_similarity
+
+    def v(x, y):
+        return [float(x), float(y)] + [0.0] * 62
+
+    rows = [(1, "r", "approved", "a", v(1, 0)), (20, "r", "code", "p", v(2, 0)), (21, "r", "code", "p", v(0, 3)), (22, "r", "code", "q", v(3, 4)), (23, "s", "code", "p", v(1, 0)), (24, "r", "code", "p", [0.0] * 64)]
+    rows += [(100 + i, "r", "code", "many", v(1, i / 2000)) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, repo string, kind string, path string, embedding array<float>").write.parquet(f"{tmp_path}/vector_points.parquet")
+    got = {(r.repo, r.path): r.similarity for r in page_similarity(spark, str(tmp_path)).collect()}
+    assert got == {("r", "p"): 0.0, ("r", "q"): 0.6, ("s", "p"): 0.0, ("r", "many"): round(1 / (1 + 0.5995**2) ** 0.5, 6)}
+
+
 def test_grounded(spark):
     from docloom.operators.checks import grounded
 

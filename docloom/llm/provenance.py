@@ -37,8 +37,12 @@ NOTICES = [
     "automatisch erzeugt", "nicht von hand ändern", "automatisch generiert", "généré automatiquement", "ne pas modifier", "generado automáticamente", "no editar",
     "copied from http", "vendored from", "imported from http",
 ]
-# Wording that talks about generated files and is written by people.
-DENIALS = ["unlike the generated", "edited by hand", "written by hand", "by hand\n", "banner", "generated types", "ids are allowed", "is built from this", "generated client", "code generator prints", "copies vendored", "every output file"]
+# Wording that makes a notice one about other files; ``#`` stands for the notice.
+DENIALS = re.compile(
+    r"unlike (?:the |an? )?#|unlike the generated|code generator prints|copies vendored|is built from this|['\"`][^'\"`]{0,20}#[^'\"`]{0,20}['\"`]"
+    r"|(?<!not )(?<!never )\b(?:is|are|was|and) (?:written|edited|maintained) by hand|(?:auto-|auto |auto)generated (?!files?\b|code\b|sources?\b|by\b|from\b)\w+ (?:is|are|may be|can be) (?:allowed|fine|accepted)"
+)
+MARKERS = re.compile(r"^(?:///?|#+|--|/\*+|\*+/?|<!--|;+|%+)\s*|\s*(?:\*/|-->)$")
 #: A notice stands in the file's leading comments, before the first code, or in its closing ones.
 COMMENT = re.compile(r"^\s*(?://|#|--|/\*|\*|<!--|;|\"\"\"|'''|%|\{-|rem\b)", re.I)
 TITLE = re.compile(r"^### FILE: .*(?:\r?\n|\r|$)")
@@ -53,7 +57,7 @@ def automaton(words: list[str]) -> ahocorasick.Automaton:
     return built
 
 
-_NOTICES, _DENIALS = automaton(NOTICES), automaton(DENIALS)
+_NOTICES = automaton(NOTICES)
 
 
 def tidy(path: Column) -> Column:
@@ -95,19 +99,37 @@ def comments(text: str) -> list[str]:
         if "*/" in bare or "-->" in bare:
             inside = False
         found.append(bare)
+    last: list[str] = []
     for line in reversed(lines):
         if line.strip():
             if not COMMENT.match(line):
                 break
-            found.append(line.strip())
-    return found
+            last.append(line.strip())
+    return found + last[::-1]
+
+
+def tells(line: str, at: int = 0) -> bool:
+    """A notice that nothing in the line denies, and that crosses the place ``at`` where one is given."""
+    for end, word in _NOTICES.iter(line):
+        begin = end + 1 - len(word)
+        if at and not begin < at <= end:
+            continue
+        if not DENIALS.search(line) and not DENIALS.search(f"{line[:begin]}#{line[end + 1 :]}"):
+            return True
+    return False
 
 
 def has_notice(text: str) -> bool:
+    """Each comment line counts, and a notice wrapped over two of them."""
+    before = ""
     for line in comments(text):
         low = re.sub(r"\s+", " ", line.lower())
-        if next(_NOTICES.iter(low), None) and not next(_DENIALS.iter(low + "\n"), None):
+        if tells(low):
+            return True
+        bare = MARKERS.sub("", low)
+        if before and tells(f"{before} {bare}", len(before)):
             return True
+        before = bare
     return False
 
 

@@ -39,3 +39,13 @@ def test_tables(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "// @generated\nx", None), (3, "// @generated\nx", "x"), (4, CODE, "x")], "change_id long, after string, reason string")
     assert [(r.change_id, r.reason) for r in P.by_text(df, "change_id", "after").collect()] == [(3, "notice")] * 2
     assert P.by_text(df.limit(0), "change_id", "after").count() == 0
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "# This file is automatically generated and must not be edited by hand", "// Code generated by x: generated client for y. DO NOT EDIT.", "# auto-generated; do not edit this banner", "// This file was\n// generated by x.", "# Generated types. Do not\n# edit.",
+    ],
+)
+def test_notices_that_nothing_denies(head):
+    assert P.reason(head + "\nx = call(1)\n") == "notice"

@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -41,23 +42,26 @@ FORMATS = re.compile(
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://([^\s:/@\"'`<>]*):([^\s@\"'`<>]+)@(?=[A-Za-z0-9\[])")
-HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic|token|digest)\s+([^\s\"'`,;]+)|\b(?:x-[a-z\-]*(?:key|token|secret|auth)|private-token|api-key)[\"']?\s*:\s*[\"']?([^\s\"'`,;]+)")
+HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic|token|digest)\s+([^\s\"'`,;]+)|\b(?:x-[a-z\-]{0,40}(?:key|token|secret|auth)|private-token|api-key)[\"']?\s*:\s*[\"']?([^\s\"'`,;]+)")
 BEARER = re.compile(r"(?i)[\"'`\s]bearer\s+([A-Za-z0-9._~+/\-]{16,}=*)")
-# Commands and clauses that take a credential without naming it.
+EMPTIED = re.compile(r"\s*" + re.escape(MASK) + r"\s*-----END ")
+IDENTIFIED = re.compile(r"\bIDENTIFIED\s+(?:WITH\s+\w+\s+)?(?:BY|AS)\s+(?:PASSWORD\s+)?['\"]([^'\"\n]+)['\"]", re.I)
+# Commands and their options that take a credential without naming it.
 GIVEN = {
-    "identified": re.compile(r"\bIDENTIFIED\s+(?:WITH\s+\w+\s+)?(?:BY|AS)\s+(?:PASSWORD\s+)?['\"]([^'\"\n]+)['\"]", re.I),
-    "curl": re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:([^\s\"']+)"),
-    "wget": re.compile(r"\bwget\b[^\n]*?\s--(?:http-|ftp-)?password[ =][\"']?([^\s\"']+)"),
-    "mysql": re.compile(r"\bmysql\w*\b[^\n]*?\s-p[\"']?([^\s\"']+)"),
-    "sshpass": re.compile(r"\bsshpass\s+-p\s*[\"']?([^\s\"']+)"),
-    "redis-cli": re.compile(r"\bredis-cli\b[^\n]*?\s(?:-a|--pass)\s+[\"']?([^\s\"']+)"),
+    "curl": re.compile(r"\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:([^\s\"']+)"),
+    "wget": re.compile(r"\s--(?:http-|ftp-)?password[ =][\"']?([^\s\"']+)"),
+    "mysql": re.compile(r"\s-p[\"']?([^\s\"']+)"),
+    "sshpass": re.compile(r"\s-p\s*[\"']?([^\s\"']+)"),
+    "redis-cli": re.compile(r"\s(?:-a|--pass)\s+[\"']?([^\s\"']+)"),
 }
+COMMANDS = {w: re.compile(rf"\b{w}\w*\b" if w == "mysql" else rf"\b{w}\b") for w in GIVEN}
 # Words that name a credential, and endings that make the name that of something else.
-STEMS = [re.compile(x) for x in ("pass", "pwd", "pw", "secret", "token", "key", "credential", "auth")]
+STEMS = [re.compile(x) for x in ("pass", "pwd", "pw", "secret", "token", "key", "credential", "auth", "kennwort", "contrase", "senha", "парол", "密码", "パスワード")]
+OTHER_LANGUAGES = re.compile(r"(?i)(?:passwort|kennwort|contrase(?:ñ|n)a|senha|mot_?de_?passe|пароль|密码|パスワード)$")
 FINAL = {"pass", "password", "passwd", "passphrase", "passcode", "pw", "pwd", "secret", "token", "credential", "credentials", "apikey", "auth"}
 FINAL_KEYS = {"api", "access", "secret", "signing", "encryption", "private", "service", "master", "auth", "shared", "account", "storage", "license", "session", "client", "admin", "hmac", "ssh"}
 JOINED = re.compile(r"(?:password|passwd|passphrase|passcode|dbpass|smtppass|userpass|adminpass|rootpass|pwd|secret|token|apikey|accesskey|secretkey|signingkey|encryptionkey|privatekey|servicekey|authkey|masterkey|credentials?)$")
-STRONG = re.compile(r"(?i)pass|pw|secret|credential|api_?key|apikey|(?:access|signing|encryption|private|service)_?key")
+STRONG = re.compile(r"(?i)pass|pw|kennwort|contrase|senha|пароль|密码|パスワード|secret|credential|api_?key|apikey|(?:access|signing|encryption|private|service)_?key")
 SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Stand-ins for a credential.
 PLACEHOLDER = re.compile(
@@ -160,14 +164,19 @@ def plausible(value: str, strong: bool) -> bool:
     return entropy(value) >= threshold(value, 0.62 if strong else 0.7)
 
 
+def is_dense(value: str) -> bool:
+    """Of more than 64 characters without a blank only random ones vary so much; code and paths don't."""
+    return len(value) <= 64 or entropy(value) >= threshold(value, 0.85)
+
+
 def looks_issued(value: str) -> bool:
     """A password-like literal without a name: capitals, small letters, digits and a special sign."""
-    return 8 <= len(value) <= 64 and classes(value) >= 3 and any(c.isdigit() for c in value) and any(c in "!@#$%^&*~?+=" for c in value) and not is_stand_in(value) and "://" not in value and not is_other(value) and not HASH.match(value)
+    return 8 <= len(value) and is_dense(value) and classes(value) >= 3 and any(c.isdigit() for c in value) and any(c in "!@#$%^&*~?+=" for c in value) and not is_stand_in(value) and "://" not in value and not is_other(value) and not HASH.match(value)
 
 
 def looks_made_up(value: str) -> bool:
     """Letters with a run of digits, as people build passwords; versions, hosts, names and paths are not."""
-    return 8 <= len(value) <= 64 and any(c.isalpha() for c in value) and len(re.findall(r"\d", value)) >= 2 and not re.search(r"\.\w+\.|[/\\:]|\.\w{1,6}$|^v?\d", value) and not is_stand_in(value) and not is_other(value) and not HASH.match(value)
+    return 8 <= len(value) and is_dense(value) and any(c.isalpha() for c in value) and len(re.findall(r"\d", value)) >= 2 and not re.search(r"\.\w+\.|[/\\:]|\.\w{1,6}$|^v?\d", value) and not is_stand_in(value) and not is_other(value) and not HASH.match(value)
 
 
 def decoded(value: str) -> str:
@@ -236,18 +245,33 @@ def unnamed(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def name_of(text: str, a: int, b: int) -> tuple[int, int]:
-    """The identifier around a match."""
-    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-.$"):
-        a -= 1
-    while b < len(text) and (text[b].isalnum() or text[b] in "_-"):
-        b += 1
-    return a, b
+def names(text: str, small: str) -> Iterator[tuple[int, int]]:
+    """Bounds of each name that holds a stem, with what qualifies it (``a.b.db_password``). Of several parts of
+    one dotted name the last with a stem counts, as that is what gets the value. Every name is walked once."""
+    hits = sorted(m.span() for stem in STEMS for m in stem.finditer(small))
+    k = 0
+    run_end = 0
+    while k < len(hits):
+        begin, end = hits[k]
+        a = begin
+        while a > run_end and (text[a - 1].isalnum() or text[a - 1] in "_-.$"):
+            a -= 1
+        run_end = RUN.match(text, end).end()
+        while k < len(hits) and hits[k][0] < run_end:
+            end = max(end, hits[k][1])
+            k += 1
+        yield a, PART.match(text, end).end()
+
+
+RUN = re.compile(r"[\w\-.$]*")
+PART = re.compile(r"[\w\-]*")
 
 
 def names_credential(name: str) -> bool:
     """The last word of the name tells: ``db_password`` does, ``password_hint`` and ``token.limit`` don't."""
     last = re.split(r"[.$]", name)[-1]
+    if OTHER_LANGUAGES.search(last):
+        return True
     words = [w.lower() for w in SPLIT.findall(last)]
     while words and (words[-1].isdigit() or len(words) > 1 and words[-1] in ENCODED):
         words.pop()
@@ -362,6 +386,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     ends = [m.end() for m in KEY_BLOCK_END.finditer(text)] if "-----END " in text else []
     for m in KEY_BLOCK.finditer(text):
         at = bisect_right(ends, m.end())
+        if EMPTIED.match(text, m.end()):
+            continue
         found.append((m.start(), ends[at] if at < len(ends) else m.end(), "key block"))
     for m in FORMATS.finditer(text):
         if not is_stand_in(m[0]) and entropy(m[0]) > 3.0:
@@ -380,19 +406,22 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in BEARER.finditer(text):
             if not is_stand_in(m[1]) and not is_other(m[1]) and entropy(m[1]) >= threshold(m[1], 0.7):
                 found.append((*m.span(1), "header"))
+    if "identified" in small:
+        found += [(*m.span(1), "given") for m in IDENTIFIED.finditer(text) if plausible(m[1], True)]
     for word, pattern in GIVEN.items():
-        if word in small:
-            found += [(*m.span(1), "given") for m in pattern.finditer(text) if plausible(m[1], True)]
-    seen: set[int] = set()
+        if word in text:
+            commands = [m.end() for m in COMMANDS[word].finditer(text)]
+            for m in pattern.finditer(text):
+                at = bisect_right(commands, m.start()) - 1  # the command stands before its option on one line
+                if at >= 0 and text.find("\n", commands[at], m.start()) < 0 and plausible(m[1], True):
+                    found.append((*m.span(1), "given"))
     lines: dict[int, tuple[list[int], list[int], list[int]]] = {}
     told: set[tuple[int, int, bool]] = set()
-    for w in (w for stem in STEMS for w in stem.finditer(small)):
-        a, b = name_of(text, w.start(), w.end())
-        if a in seen:
-            continue
-        seen.add(a)
-        line_end = text.find("\n", b)
-        line_end = size if line_end < 0 else line_end
+    line_end = -1
+    for a, b in names(text, small):
+        if b > line_end:
+            line_end = text.find("\n", b)
+            line_end = size if line_end < 0 else line_end
         name = text[a:b].strip("-.")
         sort = STRONG.search(re.split(r"[.$]", name)[-1]) is not None
         named = names_credential(name)
@@ -405,10 +434,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     hit = (m.end(), stop, text[m.end() : stop].strip(), True) if stop > 0 else None
             elif (m := CLAUSE.match(text, b, line_end)) or text.startswith("--", a) and (m := OPTION.match(text, b, line_end)):
                 hit = value_at(text, m.end(), line_end, size)
-            elif (m := NEXT_LINE.match(text, b)) and text[b:].lstrip()[:1] == "(":
+            elif (m := NEXT_LINE.match(text, b)) and m[0].lstrip().startswith("("):
                 hit = value_at(text, m.end(), size, size)
             elif text[a - 1 : a] in ('"', "'") and text[b : b + 1] in ('"', "'") and re.search(r"variable[ \t]*$", text[max(0, a - 12) : a - 1]):
-                if m := TF_DEFAULT.match(text, b + 1 + (text[b + 1 : b + 4].find("{") + 1), min(size, b + 400)):
+                brace = text.find("{", b + 1, b + 4)
+                if brace > 0 and (m := TF_DEFAULT.match(text, brace + 1)):
                     hit = value_at(text, m.end(), size, size)
             elif re.search(r"name[\"']?[ \t]*[:=][ \t]*[\"']?$", text[max(0, a - 12) : a]) and (m := NAME_VALUE.match(text, b)):
                 end = text.find("\n", m.end())
@@ -428,7 +458,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
         # prose and comments: "password is ...", "used ... as password", "sign in as ... with ..., same password"
         if PROSE.fullmatch(text, a, b) and text[b : b + 1] not in ("(", "[", "{", ".", "=", ";"):
-            line_start, secret_word = text.rfind("\n", 0, a) + 1, w[0][0] == "p"
+            line_start, secret_word = text.rfind("\n", 0, a) + 1, text[a] in "pP"
             if line_start not in lines:
                 spans = [t.span() for t in TOKENS.finditer(text, line_start, line_end)]
                 lines[line_start] = [x for x, _ in spans], [y for _, y in spans], [m.end() for m in CLAUSE_END.finditer(text, line_start, line_end)]

@@ -12,6 +12,8 @@ its periods, so no number of distinct tokens reaches the driver or every task.
 A capitalised word after an abbreviation that may close a sentence begins a new one unless the document
 shows it to be a proper name.
 
+An abbreviation has at most eight characters. All searches are linear in a text's length.
+
 Defined cases: null, empty and blank texts give no unit; an unclosed fence or front matter runs to the
 end of the text as code (a lone ``---`` line that nothing closes is ignored); repeated rows give repeated
 units under their own ids; positions are code points of the text as stored.
@@ -148,23 +150,24 @@ def blocks(text: str) -> list[tuple[int, int]]:
 def intervals(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost matched quotations and parentheses; unmatched marks are ignored."""
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # how many of each closing mark the stack waits for
     found: list[tuple[int, int]] = []
     for m in BRACKETS.finditer(text, start, end):
         c, p = m[0], m.start()
-        wanted = [w for w, _ in stack]
-        if c == '"':
-            if '"' in wanted:
-                while stack[-1][0] != '"':
-                    stack.pop()
-                found.append((stack.pop()[1], p))
-            elif p == start or not text[p - 1].isalnum():
-                stack.append(('"', p))
-        elif c in wanted:
-            while stack[-1][0] != c:
-                stack.pop()
-            found.append((stack.pop()[1], p))
+        if waiting[c]:
+            while True:
+                mark, opened = stack.pop()
+                waiting[mark] -= 1
+                if mark == c:
+                    break
+            found.append((opened, p))
+        elif c == '"':
+            if p == start or not text[p - 1].isalnum():
+                stack.append((c, p))
+                waiting[c] += 1
         elif c in PAIRS:
             stack.append((PAIRS[c], p))
+            waiting[PAIRS[c]] += 1
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -181,10 +184,18 @@ def key_before(text: str, start: int, dot: int) -> tuple[str, str]:
     last = words[-1].lstrip(TRIM_LEFT).lower()
     before = words[-2].lstrip(TRIM_LEFT).lower() if len(words) > 1 else ""
     if before.endswith(".") and len(before) <= 3 and before[:-1].isalpha() and 0 < len(last) <= 3 and last.isalpha():
-        return before + last, ""
+        joined = before + last
+        if len(last) == 1 or joined in INNER or joined in CLOSING:  # "z. B."; but "b." and "Kap." in "z. B. Kap. 3" are two
+            return joined, ""
     return last, before
 
 
+def word_before(text: str, start: int, at: int) -> str:
+    """The word that ends before ``at``, as written."""
+    words = text[max(start, at - 40) : at].split()
+    return words[-1] if words else ""
+
+
 def sort_of(word: str) -> str:
     """What follows: a plain small word, a name with inner marks, a number, a capital, or another script."""
     if not word:
@@ -258,20 +269,67 @@ def classify(counts: dict[str, dict[str, int]]) -> dict[str, str]:
     return out
 
 
-def starts_proper_name(word: str, text: str) -> bool:
-    """The document shows the word capitalised amid sentences, and neither small nor at another sentence's start."""
-    found = WORDS.match(word)
-    if not found:
-        return False
-    name = found[0]
-    if re.search(rf"(?<!\w){re.escape(name.lower())}(?!\w)", text):
-        return False
-    if len(re.findall(rf"(?:^|[.!?…:]\s+|\n\s*){re.escape(name)}(?!\w)", text)) > 1:
-        return False
-    return len(re.findall(rf"(?<=[a-zà-öø-ÿа-я] ){re.escape(name)}(?!\w)", text)) > 1
+class Names:
+    """How the document writes its words: which stand in small letters, and how often each capitalised one
+    stands amid a sentence and at a sentence's or line's start. Read once, when first asked."""
 
+    def __init__(self, text: str):
+        self.text, self.read = text, False
 
-def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Counter], thai: bool = False) -> list[tuple[int, int]]:
+    def _read(self) -> None:
+        self.read, text = True, self.text
+        self.small: set[str] = set()
+        self.amid: Counter = Counter()
+        self.first: Counter = Counter()
+        last = 0
+        for m in WORDS.finditer(text):
+            a, b = m.span()
+            gap, last = text[last:a], b
+            if gap and (gap[-1].isdigit() or gap[-1] == "_") or b < len(text) and (text[b].isdigit() or text[b] == "_"):
+                continue
+            word = m[0]
+            if not word[0].isupper():
+                self.small.add(word)
+                continue
+            bare = gap.rstrip()
+            if a == 0 or "\n" in gap[len(bare) :] or len(bare) < len(gap) and bare[-1:] in (".", "!", "?", "…", ":"):
+                self.first[word] += 1
+            elif gap == " " and text[a - 2].islower():
+                self.amid[word] += 1
+
+    def is_name(self, word: str) -> bool:
+        """The document shows the word capitalised amid sentences, and neither small nor at another start."""
+        found = WORDS.match(word)
+        if not found:
+            return False
+        if not self.read:
+            self._read()
+        name = found[0]
+        return name.lower() not in self.small and self.first[name] <= 1 and self.amid[name] > 1
+
+    def is_initial(self, before: str, word: str) -> bool:
+        """A single capital between ``before`` and ``word`` is an initial: a name or an initial goes before it,
+        or another initial or a name follows, and what follows is no word that begins sentences."""
+        found = WORDS.match(word)
+        if not found or not found[0][0].isupper():
+            return False
+        if len(found[0]) == 1 and word[1:2] == ".":
+            return True
+        if not self.read:
+            self._read()
+        if found[0].lower() in self.small or found[0].lower() in STARTERS:
+            return False
+        return before[:1].isupper() and before.endswith(".") or self.is_name(word)
+
+
+# Words that begin sentences and no names.
+STARTERS = {
+    "the", "a", "an", "this", "that", "these", "those", "it", "we", "he", "she", "they", "you", "i", "in", "on", "at", "for", "to", "if", "when", "then", "but", "and", "so", "there", "as", "not", "no", "use", "see",
+    "der", "die", "das", "ein", "eine", "es", "wir", "sie", "er", "wenn", "dann", "aber", "und", "im", "am", "le", "la", "les", "un", "une", "il", "elle", "nous", "ce", "si", "el", "los", "las", "una", "en", "se", "no",
+}
+
+
+def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Counter], names: Names, thai: bool = False) -> list[tuple[int, int]]:
     """Sentence units of one block."""
     units: list[tuple[int, int]] = []
     spans = intervals(text, start, end) if BRACKETS.search(text, start, end) else []
@@ -332,7 +390,9 @@ def cut(text: str, start: int, end: int, known: Abbreviations, own: dict[str, Co
             if len(key) == 1 and key != key.upper() and not before[-1:].isdigit() and re.match(r"[^\W\d_]{1,3}\.(?:\s|$)", tail) and gap:
                 continue  # the first part of "z. B."
             sense = known.of(key, before, own)
-            if sense == "inner" or sense == "closing" and (sort == "lower" or sort == "upper" and starts_proper_name(following, text)):
+            if sense == "inner" or sense == "closing" and (sort == "lower" or sort == "upper" and names.is_name(following)):
+                continue
+            if sort == "upper" and text[a - 1 : a].isupper() and not text[max(at, a - 2) : a - 1].strip("([{\"'“„«. \t\r\n\u00a0") and names.is_initial(word_before(text, at, a - 1), following):
                 continue
         elif set(mark) <= {".", "…"}:
             if sort == "lower" or sort == "other" and not CJK_END.search(mark):
@@ -354,9 +414,10 @@ def units(text: str | None, known: Abbreviations) -> list[tuple[int, int]]:
     for (key, sort), n in evidence(text).items():
         own[key][sort] += n
     thai = THAI.search(text) is not None
+    names = Names(text)
     out: list[tuple[int, int]] = []
     for start, end in blocks(text):
-        out += cut(text, start, end, known, own, thai)
+        out += cut(text, start, end, known, own, names, thai)
     return [(a, b) for a, b in out if b > a]
 
 

@@ -312,9 +312,21 @@ def together(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return few.repartition(*keys)
 
 
-def combined(sketches: DataFrame, keys: list[str], over: list[str]) -> DataFrame:
-    """Sketches of the groups ``keys`` and ``over`` (days) merged over the latter, from where they lie together."""
-    return merged(together(sketches, [*over, *keys]), keys)
+def rolled_up(sketches: DataFrame, keys: list[str], over: list[str]) -> DataFrame:
+    """Rows (whole, over, keys, cells): the sketches as they are, and, where ``whole`` is true and ``over`` null,
+    those merged over ``over`` (days), which each task adds up from what it has."""
+    n, schema_keys = len(over), ["whole", *over, *keys]
+    marked = sketches.select(F.lit(False).alias("whole"), *over, *keys, "cells")
+    schema, ddl = key_schema(marked, schema_keys, [("cells", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays(rows.columns, schema=schema)
+            few = pa.RecordBatch.from_arrays(rows.columns[1 + n :], names=[*keys, "cells"])
+            for names, k, w in added(iter([few]), len(keys), False):
+                yield from sketch_rows(schema, [(True, *[None] * n, *name) for name in names], k, w)
+
+    return marked.mapInArrow(run, f"{ddl}, cells binary")
 
 
 def percentiles(sketches: DataFrame, keys: list[str], percents: tuple = PERCENTS) -> DataFrame:
@@ -342,10 +354,8 @@ def p3_percentiles(spark, sf_dir: str) -> DataFrame:
     whole period (``day`` is null). The period's come from the days' sketches, not from the rows again; rows
     without a time have no day and count in the period only, as a sketch of their own."""
     logs = table(spark, sf_dir, "node_logs").withColumn("day", F.to_date("created_at"))
-    days = sketch(logs, ["day", *KEYS], "ms")
-    per_day = percentiles(days, ["day", *KEYS]).where("day is not null")
-    whole = percentiles(combined(days, KEYS, ["day"]), KEYS)
-    return per_day.unionByName(whole.withColumn("day", F.lit(None).cast("date")))
+    both = rolled_up(sketch(logs, ["day", *KEYS], "ms"), KEYS, ["day"])
+    return percentiles(both, ["whole", "day", *KEYS]).where("whole or day is not null").drop("whole")
 
 
 def p3_whole_period(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_tasks_that_hold_little(spark, monkeypatch):
                 times[names[g]] = times.get(names[g], 0) + 1
             for g, c, x in zip(k >> Q.CELL_BITS, k & ((1 << Q.CELL_BITS) - 1), w, strict=True):
                 cells[names[g], c] = cells.get((names[g], c), 0) + x
-        return cells, times
+        return {c: x for c, x in cells.items() if x}, times
 
     want, _ = given(True)
     monkeypatch.setattr(Q, "ADDED", 3000)
@@ -105,8 +105,9 @@ def test_merging_and_deleting(spark):
     rows = [(int(d), int(v)) for d, v in zip(rng.integers(0, 9, 20_000), rng.integers(0, 50_000, 20_000), strict=True)]
     df = spark.createDataFrame(rows, "day int, ms int").withColumn("g", F.lit("x"))
     whole = Q.percentiles(Q.sketch(df, ["g"], "ms"), ["g"]).collect()
-    days = Q.percentiles(Q.combined(Q.sketch(df, ["day", "g"], "ms"), ["g"], ["day"]), ["g"]).collect()
-    assert sorted(whole) == sorted(days)
+    both = Q.percentiles(Q.rolled_up(Q.sketch(df, ["day", "g"], "ms"), ["g"], ["day"]), ["whole", "day", "g"])
+    assert sorted(whole) == sorted(both.where("whole").select("g", "percent", "value", "n").collect())
+    assert both.where("not whole").count() == 9 * 4
     wide = Q.percentiles(Q.sketch(df.repartition(400), ["g"], "ms"), ["g"]).collect()  # bundles first
     assert sorted(whole) == sorted(wide)
     extra = spark.createDataFrame([("x", 7)] * 5000, "g string, ms int")

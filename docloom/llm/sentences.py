@@ -7,8 +7,8 @@ or parenthesis, or its period belongs to an abbreviation, an ordinal or a number
 What is an abbreviation is learnt, not only listed: a period followed by a small letter is unambiguous
 evidence for one, a period at a block's end against one that never closes a sentence. A document's own
 evidence decides where it is unambiguous; else the counts over the whole corpus do. They are summed and
-judged in Spark in a first pass and come back to each document by a join with the tokens that stand before
-its periods, so no number of distinct tokens reaches the driver or every task.
+judged in Spark in a first pass. Up to ``SHARED`` classes are given to every task; more come back to each
+document by a join with the tokens that stand before its periods. The units are the same either way.
 A capitalised word after an abbreviation that may close a sentence begins a new one unless the document
 shows it to be a proper name.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrow import batch, map_batches
-from docloom.session import spread, table
+from docloom.session import checkpointed, spread, table
 
 # Abbreviations that stand before what they belong to, and those that may close a sentence.
 INNER = {
@@ -461,7 +461,11 @@ def lookups(text: str) -> set[str]:
     return {k for k in keys if 0 < len(k) <= 8 and k[0].isalpha()}
 
 
-def split(docs: DataFrame, key: str, text: str) -> DataFrame:
+#: So many classes, each of at most eight characters, are broadcast: below 10 MB.
+SHARED = 100_000
+
+
+def split(docs: DataFrame, key: str, text: str, shared: int = SHARED) -> DataFrame:
     """(key, start_at, end_at) of every unit of every document."""
     schema = pa.schema([(key, pa.int64()), ("start_at", pa.int64()), ("end_at", pa.int64())])
     pairs = pa.schema([("id", pa.int64()), ("k", pa.string())])
@@ -470,19 +474,32 @@ def split(docs: DataFrame, key: str, text: str) -> DataFrame:
         asked = [(i, k) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if t for k in lookups(t)]
         yield batch(pairs, [i for i, _ in asked], [k for _, k in asked])
 
-    def run(rows: pa.RecordBatch):
+    def cut_all(ids, texts, known) -> pa.RecordBatch:
         keys, starts, ends = [], [], []
-        for k, t, senses in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            for a, b in units(t, Abbreviations(dict(senses or ()))):
+        for n, (k, t) in enumerate(zip(ids.to_pylist(), texts.to_pylist(), strict=True)):
+            for a, b in units(t, known(n)):
                 keys.append(k)
                 starts.append(a)
                 ends.append(b)
-        yield batch(schema, keys, starts, ends)
+        return batch(schema, keys, starts, ends)
+
+    def run(rows: pa.RecordBatch):
+        senses = rows.column(2).to_pylist()
+        yield cut_all(rows.column(0), rows.column(1), lambda n: Abbreviations(dict(senses[n] or ())))
 
     texts = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")))
-    known = map_batches(texts, ask, "id long, k string").join(corpus_classes(docs, text), "k").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("k", "sense"))).alias("senses"))
+    classes = checkpointed(corpus_classes(docs, text))
+    ddl = f"`{key}` long, start_at long, end_at long"
+    if classes.count() <= shared:
+        given = docs.sparkSession.sparkContext.broadcast({r["k"]: r["sense"] for r in classes.collect()})
+
+        def run_shared(rows: pa.RecordBatch):
+            yield cut_all(rows.column(0), rows.column(1), lambda _: Abbreviations(given.value))
+
+        return map_batches(texts, run_shared, ddl)
+    known = map_batches(texts, ask, "id long, k string").join(classes, "k").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("k", "sense"))).alias("senses"))
     met = texts.join(known.withColumnRenamed("id", "id_"), F.col("id").eqNullSafe(F.col("id_")), "left").select("id", "t", "senses")
-    return map_batches(met, run, f"`{key}` long, start_at long, end_at long")
+    return map_batches(met, run, ddl)
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from docloom.llm import sentences as S
@@ -27,6 +29,24 @@ def test_sentences(text, want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("We cite J. K. Rowling here. X", ["We cite J. K. Rowling here.", "X"]), ("Dr. J. Smith came. X", ["Dr. J. Smith came.", "X"]), ("Siehe z. B. Kap. 3 dort. X", ["Siehe z. B. Kap. 3 dort.", "X"]),
+        ("Take plan B. The rest waits. X", ["Take plan B.", "The rest waits.", "X"]), ("It is vitamin C. We knew.", ["It is vitamin C.", "We knew."]),
+    ],
+)
+def test_initials(text, want):
+    assert cut(text) == want
+
+
+@pytest.mark.parametrize("text", ["(" * 300_000, "([{«" * 50_000, '"' * 300_000, "We met etc. Karl and etc. Peter went. " * 8000, "a. " * 100_000, ". " * 200_000, "x" * 1_000_000, "ก " * 200_000], ids=range(8))
+def test_linear_time(text):
+    began = time.perf_counter()
+    cut(text)
+    assert time.perf_counter() - began < 15
+
+
 def test_blocks():
     text = "\ufeff---\ntitle: A. B\n---\n# Head `x`?\n\nOne\nline. Two\r\n\r\n- item one. More\n  goes on\n  * nested\n1. first\n2. second\n> quoted. Text\n\n| a. | b. |\n|---|---|\n```py\nx. Y\n```\n~~~\nunclosed. Fence"
     assert cut(text) == ["Head `x`?", "One\nline.", "Two", "item one.", "More\n  goes on", "nested", "first", "second", "quoted.", "Text"]
@@ -53,7 +73,8 @@ def test_classes_of_rare_keys(spark):
     rows = [(i, "We stop. Then stop. On stop. " * 2000) for i in range(200)] + [(1000 + i, f"See klm. part{i % 2} and klm. more.") for i in range(25)] + [(2000, "The klm. Part is. Now")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.k: r.sense for r in S.corpus_classes(df, "text").collect()} == {"klm": "inner"}
-    assert [(r.start_at, r.end_at) for r in S.split(df, "doc_id", "text").where("doc_id = 2000").orderBy("start_at").collect()] == [(0, 17), (18, 21)]
+    for shared in (S.SHARED, 0):  # given to every task, and joined
+        assert [(r.start_at, r.end_at) for r in S.split(df, "doc_id", "text", shared).where("doc_id = 2000").orderBy("start_at").collect()] == [(0, 17), (18, 21)]
 
 
 def test_all_keys_are_looked_up():

@@ -417,6 +417,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     found.append((*m.span(1), "given"))
     lines: dict[int, tuple[list[int], list[int], list[int]]] = {}
     told: set[tuple[int, int, bool]] = set()
+    judged: set[tuple[int, bool]] = set()  # a token near many names is judged once
     line_end = -1
     for a, b in names(text, small):
         if b > line_end:
@@ -471,8 +472,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 told.add((x, y, secret_word))
                 # every token that the stretch touches, in full
                 for t0, t1 in zip(starts[(i := bisect_right(stops, x)) : (j := bisect_left(starts, y))], stops[i:j], strict=True):
-                    if text[t1 : t1 + 1] in ("(", "[", "{", "<"):
+                    if text[t1 : t1 + 1] in ("(", "[", "{", "<") or (t0, secret_word) in judged:
                         continue
+                    judged.add((t0, secret_word))
                     value = text[t0:t1]
                     value = value.rstrip(".,;:!?") if t1 < line_end and value.endswith((",", ";", ":")) else value
                     value = value.rstrip(",;:")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -108,6 +109,23 @@ def test_prose_by_clause():
         assert [edge[a:b] for a, b, _ in S.findings(edge)] == ["ambe!panxan6644"], n
 
 
+@pytest.mark.parametrize("unit", ["token", "pw", "a", "0", "Ab9", "x-", "curl ", "mysql ", "a://b:", "password = ", "identified by ", '"', "(", "key."])
+def test_linear_time(unit):
+    began = time.perf_counter()
+    S.findings((unit * 400_000)[:400_000])
+    assert time.perf_counter() - began < 15
+
+
+def test_names_in_further_languages():
+    for line in ('cert_passwort: "Hx7k-92kQpLs"', 'contraseña = "Hx7k-92kQpLs"', 'senha = "Hx7k-92kQpLs"', 'mot_de_passe: "Hx7k-92kQpLs"', 'auth.password = "Hx7k-92kQpLs"'):
+        assert len(S.findings(line)) == 1, line
+
+
+def test_emptied_key_blocks_are_silent():
+    block = "a\n-----BEGIN PRIVATE KEY-----\nabc\ndef\n-----END PRIVATE KEY-----\nb"
+    assert S.findings(block) and S.findings(S.redact(block)) == []
+
+
 def test_long_text():
     text = ("token " * 50_000) + "\npassword = 'Harbor-Maple-42!'\n" + "x" * 200_000
     assert [s for _, _, s in S.findings(text)] == ["named"]

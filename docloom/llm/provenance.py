@@ -3,7 +3,9 @@
 Paths are judged by Spark expressions. Text is judged in one Arrow pass per batch: a multi-pattern
 automaton finds generation notices in the comment lines of a file's header, and a few shape measures
 over the whole text (line lengths, share of blanks, share of lines that are literals) find minified
-scripts and data stored as code. Text is only looked at where the path has not decided.
+scripts and data stored as code. A notice counts where a clause of the comment states something about its
+own file ("this file was generated", "code generated by", "do not edit"), not where its words are quoted or
+said of other files. Text is only looked at where the path has not decided.
 
 Defined cases: a null or empty path never matches by path; a null or empty text never matches by text;
 documentation pages and aggregate sources (``@...``) are never matched; repeated rows are judged alike.
@@ -28,20 +30,48 @@ LOCKS = ["package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yam
 ENDINGS = [r"\.min\.(js|css|mjs|cjs)", r"\.bundle\.(js|css)", r"\.chunk\.(js|css)", r"\.map", r"\.pb\.(go|cc|h)", r"_pb2(_grpc)?\.pyi?", r"\.g\.(cs|dart)", r"\.designer\.cs", r"\.generated\.\w+", r"[._-]gen\.(go|ts|js|py)", r"\.freezed\.dart", r"-lock\.json"]
 STARTS = [r"zz_generated\."]
 
-# What code generators print, lower case, blanks joined. Each is paired with the sort of notice.
+# The words that generation notices are built around, lower case. The automaton finds them; the
+# patterns below decide whether the clause around one speaks of this file.
 NOTICES = [
-    "code generated by", "do not edit", "don't edit", "do not modify", "do not change this file", "autogenerated", "auto-generated", "auto generated",
-    "automatically generated", "produced automatically", "generated automatically", "machine made by", "machine generated", "machine-generated",
-    "@generated", "<auto-generated", "this file was generated", "this file is generated", "file generated by", "generated by the", "generated from",
-    "changes will be lost", "edits will be overwritten", "changes will be overwritten", "manual edits will", "regenerate instead of editing",
-    "automatisch erzeugt", "nicht von hand ändern", "automatisch generiert", "généré automatiquement", "ne pas modifier", "generado automáticamente", "no editar",
-    "copied from http", "vendored from", "imported from http",
+    "generated", "autogen", "auto-gen", "machine made", "machine-made", "do not", "don't", "never", "must not be", "should not be", "will be lost", "be overwritten", "regenerate", "re-generate", "produced automatically", "created automatically", "automatically produced",
+    "automatically created", "vendored from", "copied from", "imported from", "mirrored from",
+    "erzeugt", "generiert", "nicht", "généré", "ne pas", "ne modifiez", "generado", "no editar", "no modificar", "no edite", "no modifique", "gerado", "não", "generato", "non modificare", "gegenereerd", "niet",
+    "сгенерирован", "создан автоматически", "не редакт", "не изменя", "自動生成", "編集しない", "变更", "自动生成", "自動產生", "请勿", "請勿", "자동 생성", "자동으로 생성", "수정하지",
 ]
-# Wording that makes a notice one about other files; ``#`` stands for the notice.
-DENIALS = re.compile(
-    r"unlike (?:the |an? )?#|unlike the generated|code generator prints|copies vendored|is built from this|['\"`][^'\"`]{0,20}#[^'\"`]{0,20}['\"`]"
-    r"|(?<!not )(?<!never )\b(?:is|are|was|and) (?:written|edited|maintained) by hand|(?:auto-|auto |auto)generated (?!files?\b|code\b|sources?\b|by\b|from\b)\w+ (?:is|are|may be|can be) (?:allowed|fine|accepted)"
+FILE = r"(?:file|code|source|module|class|header|script|document|content|package|client|stub|binding|type|schema|definition|configuration|output|page)s?"
+MADE = r"(?:(?:auto|machine)[- ]?)?(?:re)?(?:generated|created|produced|built|written|made|emitted)"
+BY = r"(?:by|from|with|using|via|through|out of)"
+# What a clause says that speaks of its own file. Each must begin the clause.
+ABOUT_THIS = re.compile(
+    # "this file was generated", "the code below is automatically produced by x"
+    rf"(?:please note[:,]? |note[:,]? |warning[:,]? |caution[:,]? |attention[:,]? )?(?:this|the following|all|the code below|everything below)(?: \w+){{0,2}}? ?(?:{FILE} )?(?:is|are|was|were|has been|have been|gets?)(?: being)? (?:(?:an? )?(?:fully|automatically|auto|machine|code|tool)[- ]?)?(?:@?generated|autogenerated|{MADE}(?: (?:automatically|{BY}|on|at)))\b"
+    # "code generated by x", "file automatically generated from y", "generated types"
+    rf"|(?:{FILE} )?(?:(?:automatically|auto|machine|tool)[- ]?)?generated(?: {FILE})?(?: (?:automatically|{BY}|on|at|for|do not|don't|and must|and should|file|code|source)\b| ?[-:]| ?$)"
+    rf"|(?:{FILE} )?(?:auto|machine)[- ]?(?:generated|created|made|gen)(?: {FILE})?(?: (?:automatically|{BY}|on|at|for|do not|don't)\b| ?[-:]| ?$)"
+    rf"|(?:{FILE} )?(?:automatically (?:created|produced|written|built)|(?:created|produced|written|built) automatically)\b"
+    r"|@generated\b|<auto-?generated|@auto-?generated"
+    # what becomes of changes
+    r"|(?:any |all |your |manual |local |hand )*(?:changes?|edits?|modifications?)(?: \w+){0,5} (?:will|would|may|might|can|get)(?: \w+)? ?(?:be )?(?:lost|overwritten|discarded|reverted)\b"
+    r"|(?:please )?(?:re-?generate|re-?run|re-?build)\b[^,]*\b(?:instead|to update|to change|after|with|rather)\b"
+    # further languages
+    r"|(?:diese[rs]? \w+ (?:wurde|ist|wird) |die \w+ wurde )?(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)|diese[rs]? \w+ (?:wurde|ist|wird)\b[^,]* (?:erzeugt|generiert)\b"
+    r"|(?:ce|cette) \w+ (?:a été|est) (?:automatiquement )?(?:générée?|produite?)\b|(?:\w+ )?(?:générée?|produite?) (?:automatiquement|par)\b"
+    r"|(?:este|esta) \w+ (?:fue|ha sido|es) (?:automáticamente )?generad[oa]\b|(?:\w+ )?generad[oa] (?:automáticamente|por)\b"
+    r"|(?:este|esta) \w+ (?:foi|é) (?:automaticamente )?gerad[oa]\b|(?:\w+ )?gerad[oa] (?:automaticamente|por)\b|(?:questo|questa) \w+ (?:è|è stat[oa]) generat[oa]\b|(?:\w+ )?generat[oa] automaticamente\b|(?:dit|deze) \w+ is (?:automatisch )?gegenereerd\b|automatisch gegenereerd\b"
+    r"|(?:этот |данный )?(?:файл|код) (?:был )?(?:автоматически )?(?:сгенерирован|создан автоматически)|(?:автоматически )?сгенерирован[оа]? (?:автоматически|с помощью)"
+    r"|[^ ]{0,12}(?:自動生成|自动生成|自動產生)|[^.]{0,12}(?:자동 생성|자동으로 생성)"
+    # copies of another project
+    rf"|(?:(?:this|the) {FILE} (?:is|was) )?(?:vendored|copied|imported|mirrored)(?: (?:verbatim|unchanged|unmodified|as is))?,? from (?:https?://|git@|\S+\.\w+/|\S+@v?\d|\S+ v?\d)"
 )
+# What tells a reader to keep off this file; what follows must not speak of something else.
+KEEP_OFF = re.compile(
+    r"(?<!the )(?<!a )(?<!an )\b(?:do not|don't|never|must not be|should not be)(?: be)?(?: (?:hand|manually|ever|directly))?[- ]?(?:edit|modify|change|touch|alter|edited|modified|changed|touched|altered)\b"
+    r"(?! (?:the|a|an|any|these|those|other|our|your|its|their)\b(?! (?:file|code|contents?|rest|lines? below)\b))(?! (?:without|unless|before|until|if|when|while|banners?|headers?|markers?|notices?|comments?|lines?|warnings?|messages?)\b)"
+    r"|\b(?:nicht|nie) (?:(?:von hand|manuell|direkt) )?(?:ändern|bearbeiten|editieren|verändern)\b|\b(?:ne pas|ne jamais) (?:modifier|éditer)\b|\bne (?:modifiez|éditez) pas\b|\bno (?:editar|modificar|edite|modifique)\b|\bnão (?:editar|edite|modificar|modifique|altere|alterar)\b|\bnon modificare\b|\bniet (?:bewerken|wijzigen|aanpassen)\b"
+    r"|не (?:редактируйте|редактировать|изменяйте|изменять)|編集しないで|请勿(?:编辑|修改|改动)|請勿(?:編輯|修改)|수정하지 마"
+)
+QUOTED = re.compile(r"(?<!\w)(['\"`“«])(?=\S)[^'\"`“”«»]*?\S['\"`”»](?!\w)")
+CLAUSE = re.compile(r"[.!?。！？](?=\s|$)|;|: |\s[-–—|]+\s|。|！")
 MARKERS = re.compile(r"^(?:///?|#+|--|/\*+|\*+/?|<!--|;+|%+)\s*|\s*(?:\*/|-->)$")
 #: A notice stands in the file's leading comments, before the first code, or in its closing ones.
 COMMENT = re.compile(r"^\s*(?://|#|--|/\*|\*|<!--|;|\"\"\"|'''|%|\{-|rem\b)", re.I)
@@ -108,28 +138,29 @@ def comments(text: str) -> list[str]:
     return found + last[::-1]
 
 
-def tells(line: str, at: int = 0) -> bool:
-    """A notice that nothing in the line denies, and that crosses the place ``at`` where one is given."""
-    for end, word in _NOTICES.iter(line):
-        begin = end + 1 - len(word)
-        if at and not begin < at <= end:
-            continue
-        if not DENIALS.search(line) and not DENIALS.search(f"{line[:begin]}#{line[end + 1 :]}"):
+def says_so(comment: str) -> bool:
+    """One clause of the comment states that this very file is made by a tool, copied, or not to be edited.
+    What stands in quotes is spoken about; a clause with another subject speaks of other files."""
+    bare = QUOTED.sub("#", comment)
+    start = 0
+    for end in [m.span() for m in CLAUSE.finditer(bare)] + [(len(bare), len(bare))]:
+        clause = bare[start : end[0]].strip(" \t,*=#-_~[]()<>").removeprefix("and ") if not bare[start : start + 14].strip().startswith(("<auto", "@")) else bare[start : end[0]].strip()
+        start = end[1]
+        if any(True for _ in _NOTICES.iter(clause)) and (ABOUT_THIS.match(clause) or KEEP_OFF.search(clause)):
             return True
     return False
 
 
 def has_notice(text: str) -> bool:
-    """Each comment line counts, and a notice wrapped over two of them."""
+    """The header's and footer's comments are judged line by line, and each line with the next, as a notice may
+    be wrapped. Only comments with one of the automaton's words are looked at."""
     before = ""
     for line in comments(text):
-        low = re.sub(r"\s+", " ", line.lower())
-        if tells(low):
-            return True
-        bare = MARKERS.sub("", low)
-        if before and tells(f"{before} {bare}", len(before)):
-            return True
-        before = bare
+        low = re.sub(r"\s+", " ", MARKERS.sub("", line.lower())).strip()
+        for piece in (low, f"{before} {low}" if before else ""):
+            if piece and any(True for _ in _NOTICES.iter(piece)) and says_so(piece):
+                return True
+        before = low
     return False
 
 

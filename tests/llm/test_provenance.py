@@ -49,3 +49,25 @@ def test_tables(spark):
 )
 def test_notices_that_nothing_denies(head):
     assert P.reason(head + "\nx = call(1)\n") == "notice"
+
+
+HEADERS = [
+    "// Code generated by protoc. DO NOT EDIT. This is the generated client.", "// The banner of this file. Code generated by mockery; DO NOT EDIT.", "# This file was automatically @generated by a package manager and is not intended for manual editing.", "# Este arquivo foi gerado automaticamente. Não edite.",
+    "// このファイルは自動生成されました。編集しないでください。", "// <auto-generated>", "// This code was generated by a tool.\n//     Changes to this file may cause incorrect behavior and will be lost if the code is regenerated.", "/* Generated from schema.graphql - do not modify */", "# Generated by Django 4.2 on 2024-01-01 10:00",
+    "// Note: this file is auto-generated by the build", "# AUTOGENERATED FILE. Never edit by hand.", "-- Diese Datei wurde automatisch erzeugt, bitte nicht von Hand ändern", "# Ce fichier a été généré par x", "// File generated with x; manual edits will be overwritten", "# Copied from https://x.invalid/a/b.py", "// Файл автоматически сгенерирован, не редактировать",
+    "<!-- do not edit this file directly -->", "; DON'T TOUCH! machine-generated",
+]
+OTHERS = [
+    "# Do not edit the generated client by hand; change the schema instead.", "// Helpers for code that is generated by the compiler", "# Tests that the generated files carry the right header", "// prints \"Code generated by x. DO NOT EDIT.\" into each file", "# Never change these limits without asking the owner", "# Do not modify a running job", "// reads generated reports from the disk",
+    "# the do not edit banner is checked below", "// Generates the client from the schema", "# Values are imported from the environment", "# Nicht vergessen: Tests laufen lassen", "# auto-generated names are fine here, this module is not", "// Users may not edit pages that others lock",
+]
+
+
+@pytest.mark.parametrize("head", HEADERS)
+def test_headers_of_tools(head):
+    assert P.reason(head + "\n\nx = call(1)\n") == "notice"
+
+
+@pytest.mark.parametrize("head", OTHERS)
+def test_comments_on_other_files(head):
+    assert P.reason(head + "\n\nx = call(1)\n") is None

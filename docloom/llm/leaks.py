@@ -1,9 +1,13 @@
 """Evaluation passages in training text: every document that holds twelve consecutive words of an item.
 
-All word windows of the items become the patterns of an Aho-Corasick automaton; each document is
-normalised once (lower case, words joined by one blank) and scanned once. Items are taken in blocks of
-bounded size, one automaton per block, so that neither the driver nor a task ever holds more than
-``block_chars`` characters of patterns, however many items there are.
+Both sides are normalised to words. Any twelve consecutive words of an item hold one of its anchors, the
+six words at every seventh place, whole. The anchors are the patterns of one Aho-Corasick automaton over
+words; each document is scanned once, and an anchor met is followed word by word to both sides for as long
+as document and item agree. Runs of twelve words and more are passages, with offsets in the original text.
+
+An item's words are kept once, and its anchors take less than one node of the automaton per word, so one
+automaton holds very many items. Only beyond ``block_words`` words are items taken in blocks, each with an
+automaton and a scan of its own, so that no task ever holds more.
 
 Defined cases: null and empty texts and items, and items shorter than the window, match nothing; an item
 occurring several times in a document makes one row of ``found`` and one row per passage of ``passages``.
@@ -13,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
@@ -24,100 +28,137 @@ from docloom.llm.arrow import batch, map_batches
 from docloom.session import spread, table
 
 WINDOW = 12
-BLOCK_CHARS = 2_000_000
+#: Words of the items of one automaton: about 100 bytes each in a task.
+BLOCK_WORDS = 5_000_000
 WORD = re.compile(r"[^\W_]+")
-GAP = re.compile(r"[\W_]+")
-
-_automata: dict[tuple, ahocorasick.Automaton] = {}
-
-
-def windows(text: str | None, width: int = WINDOW) -> list[str]:
-    words = WORD.findall(text.lower()) if text else []
-    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
-
-
-def automaton(items: list[tuple[int, str]], width: int) -> ahocorasick.Automaton:
-    """Patterns are blank-delimited windows; the value of each is the items that hold it."""
-    held: dict[str, set[int]] = {}
-    for item, text in items:
-        for w in windows(text, width):
-            held.setdefault(f" {w} ", set()).add(item)
-    built = ahocorasick.Automaton()
-    for pattern, owners in held.items():
-        built.add_word(pattern, (len(pattern), tuple(sorted(owners))))
-    if held:
-        built.make_automaton()
-    return built
 
 
-def cached(items: list[tuple[int, str]], width: int) -> ahocorasick.Automaton:
+@dataclass
+class Patterns:
+    """The items' words as numbers, and the automaton of their anchors."""
+
+    width: int
+    keys: list[int] = field(default_factory=list)
+    words: list[tuple[int, ...]] = field(default_factory=list)
+    number: dict[str, int] = field(default_factory=dict)
+    automaton: ahocorasick.Automaton | None = None
+    anchor: int = 0
+
+
+def patterns(items: list[tuple[int, str | None]], width: int = WINDOW) -> Patterns:
+    """Anchors of ``anchor`` words at every ``step``-th place: a window of ``width`` words holds one whole, as
+    ``step + anchor - 1 <= width``. The value of each is where it stands: (item, place)."""
+    made = Patterns(width, anchor=max(1, width // 2))
+    step = width + 1 - made.anchor
+    places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    for key, text in items:
+        words = tuple(made.number.setdefault(w, len(made.number) + 1) for w in WORD.findall(text.lower())) if text else ()
+        if len(words) < width:
+            continue
+        for at in range(0, len(words) - made.anchor + 1, step):
+            places.setdefault(words[at : at + made.anchor], []).append((len(made.keys), at))
+        made.keys.append(key)
+        made.words.append(words)
+    if places:
+        made.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for anchor, held in places.items():
+            made.automaton.add_word(anchor, held)
+        made.automaton.make_automaton()
+    return made
+
+
+_built: dict[tuple, Patterns] = {}
+
+
+def cached(items: list[tuple[int, str]], width: int) -> Patterns:
     key = (width, len(items), zlib.crc32(repr(items).encode()))
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = automaton(items, width)
-    return _automata[key]
-
-
-def normal(text: str) -> str:
-    return f" {GAP.sub(' ', text.lower()).strip()} "
-
-
-def hits(text: str | None, auto: ahocorasick.Automaton) -> set[int]:
-    if not text or not len(auto):
-        return set()
-    return {item for _, (_, owners) in auto.iter(normal(text)) for item in owners}
-
-
-def spans(text: str | None, auto: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
-    """(item, start, end) in the original text; overlapping windows of one item are joined to one passage."""
-    if not text or not len(auto):
+    if key not in _built:
+        _built.clear()
+        _built[key] = patterns(items, width)
+    return _built[key]
+
+
+def runs(words: list[str], known: Patterns) -> dict[int, list[list[int]]]:
+    """(item) -> runs (first, last word) of the document that the item holds, at least ``width`` words long."""
+    out: dict[int, list[list[int]]] = {}
+    if known.automaton is None or len(words) < known.width:
+        return out
+    number = known.number
+    document = tuple([number.get(w, 0) for w in words])
+    reached: dict[tuple[int, int], int] = {}  # how far document and item have been compared, by item and shift
+    for end, held in known.automaton.iter(document):
+        first = end + 1 - known.anchor
+        for item, at in held:
+            shift = first - at
+            if reached.get((item, shift), -1) > end:
+                continue
+            theirs = known.words[item]
+            a, b = first, end + 1
+            while a > 0 and a > shift and document[a - 1] == theirs[a - 1 - shift]:
+                a -= 1
+            while b < len(document) and b - shift < len(theirs) and document[b] == theirs[b - shift]:
+                b += 1
+            reached[item, shift] = b
+            if b - a >= known.width:
+                out.setdefault(item, []).append([a, b - 1])
+    return out
+
+
+def hits(text: str | None, known: Patterns) -> set[int]:
+    return {known.keys[item] for item in runs(WORD.findall(text.lower()), known)} if text else set()
+
+
+def spans(text: str | None, known: Patterns) -> list[tuple[int, int, int]]:
+    """(item, start, end) in the original text; overlapping runs of one item are joined to one passage."""
+    if not text:
         return []
     lower = text.lower()
-    at = list(range(len(lower) + 1))
-    if len(lower) != len(text):  # some characters have a longer lower case
-        at = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
-    starts, ends, place, places = [], [], 1, []
-    for m in WORD.finditer(lower):
-        starts.append(m.start())
-        ends.append(m.end())
-        places.append(place)
-        place += m.end() - m.start() + 1
-    joined: dict[int, list[list[int]]] = {}
-    for end, (length, owners) in auto.iter(normal(text)):
-        first, last = bisect_right(places, end - length + 2) - 1, bisect_right(places, end - 1) - 1
-        for item in owners:
-            runs = joined.setdefault(item, [])
-            if runs and first <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], last)
+    found = list(WORD.finditer(lower))
+    passages: dict[int, list[list[int]]] = {}
+    for item, each in runs([m[0] for m in found], known).items():
+        joined = passages.setdefault(known.keys[item], [])
+        joined += each
+    at = None
+    out = []
+    for key, each in passages.items():
+        each.sort()
+        joined: list[list[int]] = []
+        for a, b in each:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
             else:
-                runs.append([first, last])
-    return [(item, at[starts[a]], at[ends[b] - 1] + 1) for item, runs in joined.items() for a, b in runs]
+                joined.append([a, b])
+        if at is None:
+            at = range(len(lower) + 1)
+            if len(lower) != len(text):  # some characters have a longer lower case
+                at = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+        out += [(key, at[found[a].start()], at[found[b].end() - 1] + 1) for a, b in joined]
+    return out
 
 
-def blocks(items: DataFrame, key: str, text: str, width: int, block_chars: int):
-    """Items in blocks of about ``block_chars`` characters of patterns, collected one block at a time."""
+def blocks(items: DataFrame, key: str, text: str, width: int, block_words: int):
+    """Items in blocks of about ``block_words`` words, collected one block at a time."""
     usable = items.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * width - 1)
-    # a window repeats its words: about width patterns hold each character
-    size = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] * width
-    count = max(1, -(-size // block_chars))
+    size = usable.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-size // block_words))
     for b in range(count if size else 0):
         yield [(r["key"], r["text"]) for r in usable.where(F.pmod(F.xxhash64("key"), F.lit(count)) == b).distinct().collect()]
 
 
-def scan(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, with_spans: bool, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def scan(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, with_spans: bool, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     texts = spread(docs.select(F.col(doc_key).cast("long"), F.col(doc_text).cast("string")).where(F.length(doc_text) >= 2 * width - 1))
     names = [(doc_key, pa.int64()), (item_key, pa.int64())] + ([("start_at", pa.int64()), ("end_at", pa.int64())] if with_spans else [])
     schema = pa.schema(names)
     ddl = ", ".join(f"`{n}` long" for n, _ in names)
     spark, out = docs.sparkSession, None
-    for block in blocks(items, item_key, item_text, width, block_chars):
-        patterns = spark.sparkContext.broadcast(block)
+    for block in blocks(items, item_key, item_text, width, block_words):
+        shared = spark.sparkContext.broadcast(block)
 
-        def run(rows: pa.RecordBatch, patterns=patterns):
-            auto = cached(patterns.value, width)
+        def run(rows: pa.RecordBatch, shared=shared):
+            known = cached(shared.value, width)
             keys, found = [], []
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                for hit in spans(text, auto) if with_spans else hits(text, auto):
+                for hit in spans(text, known) if with_spans else hits(text, known):
                     keys.append(doc)
                     found.append(hit if with_spans else (hit,))
             yield batch(schema, keys, *(list(c) for c in zip(*found, strict=True))) if found else batch(schema, *[[] for _ in names])

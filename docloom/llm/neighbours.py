@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector, by a block matrix join with quantised pruning.
 
 Vectors are spread over blocks of bounded size and every unordered pair of blocks is one tile. A tile
-multiplies 8-bit vectors (as single-precision numbers, in which those products are exact) and adds a bound
-of the quantisation error made of both vectors' residuals. Only pairs whose upper bound reaches a floor of
-either vector survive; they are recomputed in double precision, each vector keeps its best k of the tile,
-and the tiles' lists are merged to the best k. The floors are the k-th best similarity of each vector to a
+multiplies int8 vectors: their products are whole numbers below 2**24, which a single-precision product
+holds exactly; it is scaled afterwards, and a bound of the quantisation error made of both vectors'
+residuals is added. Only pairs whose upper bound reaches a floor of either vector survive; they are
+recomputed in double precision within the tile, each vector keeps its best k of the tile, and the tiles'
+lists are merged to the best k by a window with a limit per group (a sort, where a heap would do as well).
+Blocks carry the float vectors, as crowded regions survive in numbers that only the recomputing there cuts. The floors are the k-th best similarity of each vector to a
 sample of bounded size, hence never above its true k-th best: pruning loses nothing, the result is exact.
 
 Equal vectors would tie in large groups: of each group only the first k + 1 by id take part (ties go to the
@@ -17,6 +19,7 @@ vectors of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,9 @@ from docloom.session import checkpointed, table
 
 K = 5
 DIMENSION = 64
-#: Vectors per block: 8 bytes of ids, 256 of parts each, so at most a few MB a block.
-BLOCK = 8192
+#: Most vectors of a block: 8 bytes of ids, 256 of parts, 8 of the floor each, so below 10 MB a block. A vector
+#: goes to as many tiles as there are blocks, so blocks are as large as that and the cores' number allow.
+BLOCK = 32_768
 #: Vectors that the floors are taken from; broadcast, 264 bytes each.
 SAMPLE = 8192
 #: Rows of a tile that are compared at once.
@@ -50,12 +54,12 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """8-bit vectors of unit length (held as float32), their scales, and the lengths of what they miss."""
+    """int8 vectors of unit length, their scales, and the lengths of what they miss."""
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None])
     missed = np.linalg.norm(unit - q * scale[:, None], axis=1)
-    return q.astype(np.float32), scale.astype(np.float32), missed.astype(np.float32)
+    return q.astype(np.int8), scale.astype(np.float32), missed.astype(np.float32)
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -88,10 +92,12 @@ def tile(ids_a: np.ndarray, a: np.ndarray, floor_a: np.ndarray, ids_b: np.ndarra
     qa, sa, ma = quantised(a)
     qb, sb, mb = quantised(b)
     low_b = (floor_b - SLACK).astype(np.float32)
-    qb = np.ascontiguousarray((qb * sb[:, None]).T)  # a product of scaled 8-bit numbers; rounding is within SLACK
+    qb = np.ascontiguousarray(qb.astype(np.float32).T)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(a), STRIP):
-        upper = (qa[at : at + STRIP] * sa[at : at + STRIP, None]) @ qb
+        upper = qa[at : at + STRIP].astype(np.float32) @ qb  # exact
+        upper *= sb[None, :]
+        upper *= sa[at : at + STRIP, None]
         upper += (ma[at : at + STRIP] * (1 + mb.max(initial=0)))[:, None]
         upper += mb[None, :]
         low_a = (floor_a[at : at + STRIP] - SLACK).astype(np.float32)
@@ -131,7 +137,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
     size = vectors.count()
     if not size:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
-    blocks = max(1, -(-size // block))
+    # at least two tiles a core, so that all cores have work
+    blocks = max(-(-size // block), min(-(-size // 512), math.isqrt(4 * spark.sparkContext.defaultParallelism)))
     taken = ranked.orderBy(F.xxhash64("id")).limit(sample_size).select("id", "v").collect()
     sample_x = np.array([r["v"] for r in taken], dtype=np.float64)
     sample_x = (sample_x / np.linalg.norm(sample_x, axis=1)[:, None]).astype(np.float32)
@@ -166,7 +173,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
 
     found = tiles.mapInArrow(multiply, "id long, other long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    lists = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    lists = checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))  # used twice below
     return lists.unionByName(of_copies(vectors, lists, k))
 
 

@@ -39,6 +39,9 @@ def test_bound_of_quantised_products():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(50, 64)), rng.normal(size=(60, 64)) * 7
     (qx, sx, mx), (qy, sy, my) = N.quantised(x), N.quantised(y)
-    approx = (qx * sx[:, None]) @ (qy * sy[:, None]).T
+    assert qx.dtype == qy.dtype == np.int8
+    whole = qx.astype(np.float32) @ qy.astype(np.float32).T
+    assert (whole == qx.astype(np.int64) @ qy.astype(np.int64).T).all()
+    approx = whole * sx[:, None] * sy[None, :]
     true = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
-    assert (np.abs(true - approx) <= mx[:, None] * (1 + my.max()) + my[None, :] + 1e-6).all() and np.abs(qx).max() <= 127
+    assert (np.abs(true - approx) <= mx[:, None] * (1 + my.max()) + my[None, :] + 1e-6).all() and np.abs(qx.astype(int)).max() <= 127

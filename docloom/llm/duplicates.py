@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import checkpointed, table
@@ -105,11 +105,20 @@ def linked_classes(cls: DataFrame, lengths: np.ndarray, per_mille: int = PER_MIL
     classes differ needs a word that only one of them has, so n + m less those bits is at least twice the overlap.
     """
     postings = short_lists(cls, lengths, per_mille, c, split)
-    left = postings.select("word", F.pmod(F.hash("class_id"), F.col("parts")).alias("part"), F.col("class_id").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
-    right = postings.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class_id").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
     both = F.col("n") + F.col("m")
     can = (both - F.bit_count(F.col("x").bitwiseXOR(F.col("y")))) * (1000 + per_mille) >= both * 2 * per_mille
-    met = left.join(right, ["word", "part"]).where("a < b").where(can)
+
+    def meet(lists: DataFrame, a: Column | None = None, b: Column | None = None) -> DataFrame:
+        part = ["part"] if a is not None else []
+        left = lists.select("word", *([a.alias("part")] if part else []), F.col("class_id").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+        right = lists.select("word", *([b.alias("part")] if part else []), F.col("class_id").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+        return left.join(right, ["word", *part]).where("a < b").where(can).select("a", "b", "n", "m")
+
+    if (lengths > split).any():
+        whole, long = postings.where("parts = 1"), postings.where("parts > 1")
+        met = meet(whole).unionByName(meet(long, F.pmod(F.hash("class_id"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    else:  # no list is that long: one exchange serves both sides
+        met = meet(postings)
     # a pair of sets of fewer than C required words may meet less often: all its lists are short then
     merged = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("met") >= F.least(F.lit(c), F.ceil(F.greatest("n", "m") * per_mille / 1000)))
     words = cls.select("class_id", "words")

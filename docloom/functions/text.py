@@ -56,15 +56,20 @@ def scrub(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.when(line.rlike(SECRET_LINE), F.lit(SCRUBBED)).otherwise(line)), "\n")
 
 
+VERB = r"(?i)^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|ANY)\s+(?=/)"
+
+
 def route(path: Column) -> Column:
-    """One spelling of a route: no verb, host, query or fragment; variables as ``{}``; lower case; no trailing slash."""
-    p = F.regexp_replace(path, r"^[A-Z]+ +", "")
-    p = F.regexp_replace(p, r"^[a-z]+://[^/]*", "")
-    p = F.regexp_replace(p, r"[?#].*$", "")
-    p = F.regexp_replace(p, r"\$?\{[^}/]*\}|<[^>/]*>|\[[^\]/]*\]", "{}")
-    p = F.regexp_replace(p, r"/:[A-Za-z_][A-Za-z0-9_]*", "/{}")
+    """One spelling of a route: no verb, host, query or fragment; variables as ``{}``; lower case; a leading and no
+    trailing slash (``/`` stays); empty for an empty one."""
+    p = F.trim(F.regexp_replace(path, VERB, ""))
+    p = F.regexp_replace(p, r"(?i)^[a-z][a-z0-9+.-]*://[^/]*", "")
+    p = F.regexp_replace(p, r"(?s)[?#].*$", "")
+    p = F.regexp_replace(p, r"\$?\{[^}]*\}|<[^>]*>", "{}")
+    p = F.regexp_replace(p, r"(?<=^|/):[A-Za-z_][A-Za-z0-9_]*(?=/|$)", "{}")
     p = F.regexp_replace(F.lower(p), r"/{2,}", "/")
-    return F.regexp_replace(p, r"/$", "")
+    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/+$", ""))
+    return F.when((p == "") | p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
 
 
 @lru_cache(maxsize=1024)

@@ -128,7 +128,7 @@ _SYMBOLS = "SELECT DISTINCT repo, path, kind, name FROM (" + " UNION ALL ".join(
     + [f"SELECT repo, {_PATH.format('filePath')}, 'config', unnest(regexp_extract_all(after, '{CONFIG.replace(chr(39), chr(39) * 2)}', 1)) FROM change_units WHERE kind = 'code'"]
 ) + ")"
 _ROUTES = (
-    "list_distinct(list_transform(regexp_extract_all({}, '" + ROUTE + r"', 1), lambda p: regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(p, '\$?\{[^}/]*\}|<[^>/]*>|\[[^\]/]*\]', '{{}}', 'g'), '/:[A-Za-z_][A-Za-z0-9_]*', '/{{}}', 'g')), '/{{2,}}', '/', 'g'), '/$', '')))"
+    "list_distinct(list_transform(regexp_extract_all({}, '" + ROUTE + r"', 1), lambda p: regexp_replace(regexp_replace(lower(array_to_string(list_transform(string_split(regexp_replace(p, '\$?\{[^}]*\}', '{{}}', 'g'), '/'), lambda g: CASE WHEN regexp_full_match(g, ':[A-Za-z_][A-Za-z0-9_]*') THEN '{{}}' ELSE g END), '/')), '/{{2,}}', '/', 'g'), '/$', '')))"
 ).replace("{{}}", "\0").replace("{{2,}}", "\1")
 
 

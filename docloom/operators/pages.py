@@ -20,6 +20,7 @@ IDENTIFIER = r"^(?:[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]
 # Endings of files that hold secrets.
 SECRET_PATH = r"[A-Za-z0-9_./-]*(?:\.env(?:\.[a-z]+)?|\.pem|\.key|\.p12|\.jks|id_rsa)\b"
 FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---"
+#: Limits of one delivery's list of changed files; ``None`` for no limit.
 MAX_FILES, MAX_BYTES = 200, 16_384
 
 
@@ -64,10 +65,11 @@ def new_identifiers(spark, sf_dir: str) -> DataFrame:
     return units.select("change_id", F.explode(F.array_except(tokens(F.col("after")), tokens(F.col("existing")))).alias("identifier"))
 
 
-def clean_files(spark, sf_dir: str, most: int = MAX_FILES, bytes_: int = MAX_BYTES) -> DataFrame:
+def clean_files(spark, sf_dir: str, most: int | None = MAX_FILES, bytes_: int | None = MAX_BYTES) -> DataFrame:
     """Changed files of a delivery, trimmed, each once, without absolute paths and ``..``, up to the first that
     would exceed the number or the total length; the fold stops counting there."""
     trimmed = F.array_distinct(F.filter(F.transform("changedFiles", F.trim), lambda f: (f != "") & ~f.startswith("/") & ~f.rlike(r"(^|/)\.\.(/|$)")))
+    most, bytes_ = most or 2**31 - 1, bytes_ or 2**31 - 1
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(True).alias("open"))
     fold = F.aggregate(trimmed, start, lambda a, f: F.when(a["open"] & (a["n"] < most) & (a["b"] + F.octet_length(f) <= bytes_), F.struct((a["n"] + 1).alias("n"), (a["b"] + F.octet_length(f)).alias("b"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["b"].alias("b"), F.lit(False).alias("open"))))
     return table(spark, sf_dir, "change_units").where("size(changedFiles) > 0").select("change_id", fold.alias("k")).select("change_id", F.col("k.n").cast("long").alias("files"), F.col("k.b").cast("long").alias("bytes"))
@@ -112,9 +114,43 @@ def audit_sample(spark, sf_dir: str, rate: float = 0.1) -> DataFrame:
     return table(spark, sf_dir, "decisions").where("outcome = 'published'").where(share < rate).select("id", "repo")
 
 
+CLOSES = re.compile(r"\s*(?:[,:}\]]|\Z)")
+
+
+def mended(text: str) -> str:
+    """The text from its first bracket to the one that closes it, or to the end with what is open closed. Within a
+    string a quote closes it only before ``, : } ]`` or the end; any other is escaped. Commas before a closing
+    bracket go."""
+    start = re.search(r"[{\[]", text)
+    if not start:
+        return ""
+    out: list[str] = []
+    open_: list[str] = []
+    inside = False
+    for m in re.finditer(r'\\.|["{}\[\]]|[^"{}\[\]\\]+|\\', text[start.start() :], re.S):
+        part = m[0]
+        if part == '"':
+            if inside and not CLOSES.match(m.string, m.end()):
+                part = '\\"'
+            else:
+                inside = not inside
+        elif not inside and part in "{[":
+            open_.append("}" if part == "{" else "]")
+        elif not inside and part in "}]" and open_:
+            open_.pop()
+            if not open_:
+                out.append(part)
+                break
+        out.append(part)
+    whole = "".join(out) + ('"' if inside else "")
+    whole = re.sub(r":\s*$", ": null", whole.rstrip())
+    whole = re.sub(r",\s*$", "", whole) + "".join(reversed(open_))
+    return re.sub(r",(\s*[}\]])", r"\1", whole)
+
+
 def repair(text: str | None) -> tuple[str, str | None]:
-    """(state, JSON): valid, repaired (open brackets closed, quotes and trailing commas mended, fences and text
-    around the outermost object left out), or broken."""
+    """(state, JSON): valid, repaired (quotes inside of strings escaped, open strings and brackets closed, commas
+    mended, fences and text around the outermost object left out, single quotes), or broken."""
     if not text or not text.strip():
         return "empty", None
     try:
@@ -122,28 +158,7 @@ def repair(text: str | None) -> tuple[str, str | None]:
         return "valid", text
     except ValueError:
         pass
-    body = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text)
-    start = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return "broken", None
-    body = body[start:]
-    stack, inside, escaped, end = [], False, False, len(body)
-    for i, c in enumerate(body):
-        if inside:
-            inside, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-        elif c == '"':
-            inside, escaped = True, False
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            if not stack:
-                end = i + 1
-                break
-    tail = body[:end] + ('"' if inside else "")
-    tail = re.sub(r":\s*$", ": null", tail.rstrip())
-    tail = re.sub(r",\s*$", "", tail) + "".join(reversed(stack))
-    for candidate in (tail, re.sub(r",(\s*[}\]])", r"\1", tail), re.sub(r",(\s*[}\]])", r"\1", tail.replace("'", '"'))):
+    for candidate in (mended(text), mended(text.replace("'", '"'))):
         try:
             return "repaired", json.dumps(json.loads(candidate))
         except ValueError:

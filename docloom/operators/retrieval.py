@@ -1,8 +1,8 @@
 """Vector retrieval under filters, floors and budgets.
 
-Queries are a stated set (every id divisible by 20), but for ``page_similarity``, which asks all chunks. They are brought to the stored vectors in blocks of
-bounded size; each task scores its stored vectors against a block and keeps the best k per query, and the
-tasks' short lists are merged. Nothing is paired that does not share the filter's keys.
+Queries are a stated set (every id divisible by 20), but for ``page_similarity``, which asks all chunks. Queries and stored
+vectors are packed in blocks of bounded size, and blocks of the same group meet by a join; each pair of blocks
+is one product and keeps the best k per query, and these short lists are merged. Nothing comes to the driver or is paired that does not share the filter's keys.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from docloom.functions.embed import slots
 from docloom.session import table
 
 DIMENSION = 64
-QUERY_BLOCK = 4096
+#: Vectors of a block, 264 bytes each, and the parts that a group's stored blocks are spread over.
+QUERY_BLOCK, STORED_BLOCK, PARTS = 512, 4096, 8
 PACK = 512
 
 
@@ -31,42 +32,29 @@ def usable(points: DataFrame) -> DataFrame:
 def search(points: DataFrame, queries: DataFrame, k: int, same: list[str], skip_self: bool = True) -> DataFrame:
     """(query_id, vec_id, score): the k best points per query by cosine among those equal in the ``same``
     columns; ties go to the smaller id. Rows with a null in ``same`` meet nothing."""
-    spark = points.sparkSession
-    known = usable(points).where(" and ".join(f"`{c}` is not null" for c in same) or "true")
+    met = " and ".join(f"`{c}` is not null" for c in same) or "true"
     group = F.concat_ws("\u0000", *same) if same else F.lit("")
-    stored = known.select(F.col("vec_id").cast("long").alias("vec_id"), group.alias("g"), "embedding")
-    asked = usable(queries).where(" and ".join(f"`{c}` is not null" for c in same) or "true").select(F.col("vec_id").cast("long").alias("vec_id"), group.alias("g"), "embedding")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK rows
-        by_group: dict[str, list] = {}
-        for r in rows:
-            by_group.setdefault(r["g"], []).append((r["vec_id"], r["embedding"]))
-        shared = spark.sparkContext.broadcast({g: (np.array([i for i, _ in v]), unit(np.array([e for _, e in v], dtype=np.float64))) for g, v in by_group.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, groups = np.asarray(b.column(0)), np.array(b.column(1).to_pylist(), dtype=object)
-                offsets = b.column(2).offsets
-                x = np.asarray(b.column(2).values)[offsets[0].as_py() : offsets[-1].as_py()].astype(np.float64).reshape(len(ids), -1)
-                for g in set(groups) & set(shared.value):
-                    mine = np.flatnonzero(groups == g)
-                    q_ids, q = shared.value[g]
-                    for at in range(0, len(mine), 4096):
-                        part = mine[at : at + 4096]
-                        score = q @ unit(x[part]).T
-                        if skip_self:
-                            score[q_ids[:, None] == ids[part][None, :]] = -np.inf
-                        order = np.lexsort((np.broadcast_to(ids[part], score.shape), -score), axis=1)[:, :k]
-                        best = np.take_along_axis(score, order, axis=1)
-                        q_at, c_at = np.nonzero(np.isfinite(best))
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[q_at]), pa.array(ids[part][order[q_at, c_at]]), pa.array(best[q_at, c_at])], names=["query_id", "vec_id", "score"])
-
-        found = stored.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
+    side = lambda df: usable(df).where(met).select(group.alias("g"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    # a stored block meets each query block of its group; query blocks go to all of the group's parts
+    stored, asked_ = packed(side(points), "g", "s", STORED_BLOCK), packed(side(queries), "g", "q", QUERY_BLOCK)
+    pairs = stored.withColumn("part", F.pmod(F.hash(F.get("s_ids", F.lit(0))), F.lit(PARTS))).join(asked_.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["g", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, q_ids = (np.asarray(b.column(c)[i].values) for c in (0, 2))
+                x, q = (unit(np.asarray(b.column(c)[i].values).astype(np.float64).reshape(-1, DIMENSION)) for c in (1, 3))
+                score = q @ x.T
+                if skip_self:
+                    score[q_ids[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, axis=1)
+                q_at, c_at = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q_at]), pa.array(ids[order[q_at, c_at]]), pa.array(best[q_at, c_at])], names=["query_id", "vec_id", "score"])
+
+    found = pairs.select("s_ids", "s_x", "q_ids", "q_x").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -132,11 +120,11 @@ def chunk_similarity(spark, sf_dir: str) -> DataFrame:
     return pages.join(best, "query_id", "left").groupBy("repo", "path").agg(F.round(F.min(F.coalesce("score", F.lit(0.0))), 6).alias("similarity"))
 
 
-def packed(points: DataFrame, name: str) -> DataFrame:
-    """(repo, ids, numbers): vectors of a repository in blocks of about PACK, so that a large one is many rows."""
-    sizes = points.groupBy("repo").agg(F.ceil(F.count("*") / PACK).alias("blocks"))
-    rows = points.join(sizes, "repo").groupBy("repo", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))).alias("rows"))
-    return rows.select("repo", F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.e").alias(f"{name}_x"))
+def packed(points: DataFrame, key: str, name: str, size: int = PACK) -> DataFrame:
+    """(key, ids, numbers): vectors of a group in blocks of about ``size``, so that a large one is many rows."""
+    sizes = points.groupBy(key).agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = points.join(sizes, key).groupBy(key, F.pmod(F.xxhash64("vec_id"), "blocks").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))).alias("rows"))
+    return rows.select(key, F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.e").alias(f"{name}_x"))
 
 
 def most_similar(asked_: DataFrame, stored: DataFrame) -> DataFrame:
@@ -149,7 +137,7 @@ def most_similar(asked_: DataFrame, stored: DataFrame) -> DataFrame:
                 ids, (q, x) = np.asarray(b.column(0)[i].values), (unit(np.asarray(b.column(j)[i].values).astype(np.float64).reshape(-1, DIMENSION)) for j in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((q @ x.T).max(axis=1))], names=["query_id", "score"])
 
-    met = packed(asked_, "q").join(packed(stored, "s").drop("s_ids"), "repo").select("q_ids", "q_x", "s_x")
+    met = packed(asked_, "repo", "q").join(packed(stored, "repo", "s").drop("s_ids"), "repo").select("q_ids", "q_x", "s_x")
     return met.mapInArrow(run, "query_id long, score double").groupBy("query_id").agg(F.max("score").alias("score"))
 
 

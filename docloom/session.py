@@ -54,16 +54,27 @@ def spread(df: DataFrame) -> DataFrame:
     """Give CPU-bound Python stages at least one partition per core.
 
     A scan of a few large files can have fewer splits than the cluster has cores. Only then is one
-    round-robin exchange worth its bytes; a scan that is already wide is left as it is.
+    round-robin exchange worth its bytes; a scan that is already wide is left as it is. This is a matter of
+    layout: results are the same.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share. A temporary one stands in for it in
+    local mode only: on a cluster each machine would write to a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Materialise in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

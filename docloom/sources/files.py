@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import matches_any
+
 #: Larger files and those with a null byte are no text worth reading.
-MAX_BYTES = 200_000
+MAX_BYTES: int | None = 200_000
+
+
+# Folders that tools fill.
+GENERATED = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/vendor/**", "**/target/**", "**/__pycache__/**"]
 
 
-def snapshot(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+def snapshot(spark: SparkSession, folder: str, glob: str = "*", max_bytes: int | None = MAX_BYTES, exclude: list[str] | None = None) -> DataFrame:
     """(path, content) of a checked-out repository: text files below ``folder``, paths relative to it. The size
-    is filtered from the listing, before any content is read; binary files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).where(F.col("length") <= MAX_BYTES)
+    is filtered from the listing, before any content is read (``max_bytes=None``: all sizes); binary files and those
+    that match ``exclude`` (folders that tools fill, where none is given) are left out; files that cannot be read are skipped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+    files = files.where(F.col("length") <= max_bytes) if max_bytes is not None else files
     base = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
     text = F.col("content").cast("string")
-    return files.select(F.regexp_replace("path", "^" + root.replace(".", r"\.").replace("+", r"\+"), "").alias("path"), text.alias("content")).where(~F.contains("content", F.lit("\u0000")))
+    listed = files.select(F.regexp_replace("path", "^" + root.replace(".", r"\.").replace("+", r"\+"), "").alias("path"), text.alias("content")).where(~F.contains("content", F.lit("\u0000")))
+    return listed.where(~matches_any(F.col("path"), GENERATED if exclude is None else exclude))
 
 
 def changed_between(before: DataFrame, after: DataFrame) -> DataFrame:

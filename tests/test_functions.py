@@ -8,7 +8,7 @@ from docloom.functions.stats import pearson, wilson
 from docloom.functions.text import glob_regex, matches_any, route, scrub, selected, strip_header, tidy_path
 from docloom.operators.facts import inserted, keep_first, latest, replace_slice
 from docloom.operators.retrieval import search
-from docloom.operators.sections import chunks, difference, replace_sections, sections, windows
+from docloom.operators.sections import chunks, hunks, replace_sections, sections, windows
 
 
 @pytest.mark.parametrize(("k", "n", "low", "high"), [(90, 100, 0.8256, 0.9448), (30, 30, 0.8864, 1.0), (9, 10, 0.5958, 0.9821), (0, 20, 0.0, 0.1611), (0, 0, 0.0, 0.0)])
@@ -26,7 +26,7 @@ def test_pearson(spark):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("GET /v1/Users/{id}/", "/v1/users/{}"), ("https://host.invalid/v1//a?x=1#y", "/v1/a"), ("/v2/:id/b", "/v2/{}/b"), ("/v2/<int:x>/b", "/v2/{}/b"), ("/v2/[slug]", "/v2/{}"), ("/v2/${name}/c", "/v2/{}/c"), ("/", ""), ("", "")],
+    [("GET /v1/Users/{id}/", "/v1/users/{}"), ("https://host.invalid/v1//a?x=1#y", "/v1/a"), ("/v2/:id/b", "/v2/{}/b"), ("/v2/<int:x>/b", "/v2/{}/b"), ("/v2/[slug]", "/v2/[slug]"), ("get /A", "/a"), ("a/b/", "/a/b"), ("", ""), ("/v2/${name}/c", "/v2/{}/c"), ("/", "/"), ("", "")],
 )
 def test_route(spark, raw, want):
     assert spark.range(1).select(route(F.lit(raw)).alias("r")).first().r == want
@@ -76,13 +76,104 @@ def test_windows():
     lines = [f"l{i}" if i % 7 else "" for i in range(300)]
     got = windows("\n".join(lines))
     assert got[0][0] == 1 and got[-1][1] == 300
-    assert all(a[1] - b[0] + 1 == 10 for a, b in zip(got, got[1:], strict=False)) and all(b - a < 80 for a, b, _ in got)
+    assert all(a[1] - b[0] + 1 == 10 for a, b in zip(got, got[1:], strict=False)) and all(b - a < 80 for a, b, _, _ in got)
     assert windows("") == [] and windows("\n\n") == []
+    assert windows("a\nb", "x/y.py") == [(1, 2, 0, "FILE x/y.py lines 1-2\na\nb")]
 
 
-def test_difference():
-    added, removed, text = difference("a\nb\nc", "a\nx\nc\nd")
-    assert (added, removed) == (2, 1) and "+x" in text and difference("a", "a")[:2] == (0, 0)
+def test_long_windows_lose_nothing():
+    text = "\n".join("x" * 99 + str(i % 10) for i in range(60)) + "\n" + "y" * 9000
+    got = windows(text)
+    assert "".join(t for *_, t in got) == text and max(len(t) for *_, t in got) <= 3200
+    assert [t for *_, t in windows(text, limit=None)] == [text]
+
+
+def test_hunks():
+    assert hunks("a\nb\nc", "a\nx\nc\nd") == [(1, 1, 1, 2, " a\n-b\n+x\n c\n+d")] and hunks("a", "a") == []
+    old = [f"line {i}" for i in range(4000)]
+    new = old[:100] + ["new"] + old[101:3000] + old[3050:]
+    assert [(h[0], h[2], h[3]) for h in hunks("\n".join(old), "\n".join(new))] == [(98, 1, 1), (2998, 50, 0)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_hunks_rebuild_the_new_text(seed):
+    import random
+
+    from docloom.operators.sections import anchored
+
+    r = random.Random(seed)
+    old = [r.choice("abcdefgh") + str(r.randrange(6)) for _ in range(r.randrange(0, 60))]
+    new = [x for x in old if r.random() > 0.2]
+    for _ in range(r.randrange(6)):
+        new.insert(r.randrange(len(new) + 1), "n" + str(r.randrange(3)))
+    built, at = [], 0
+    for i, j, k, l in anchored(old, new):
+        built += old[at:i] + new[k:l]
+        at = j
+    assert built + old[at:] == new
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('{"a": "say "hi", ok"}', None), ('{"text": "the field "status" is set"}', {"text": 'the field "status" is set'}), ('{"a": "x "y" z", "b": [1, 2,]}', {"a": 'x "y" z', "b": [1, 2]}), ('{"a": "open', {"a": "open"}), ('{"a": "b\\"c"}', {"a": 'b"c'}), ("so {'a': 'b'} it is", {"a": "b"}),
+    ],
+)
+def test_quotes_within_strings(text, value):
+    import json
+
+    from docloom.operators.pages import repair
+
+    state, got = repair(text)
+    assert state != "broken" if value is None and got else value is None or json.loads(got) == value
+
+
+def test_streams_of_several_files(spark, tmp_path):
+    from docloom.streaming import events as E
+
+    rows = [(i, f"2024-01-{1 + i % 5:02d} 0{i % 7}:00:00", i % 4, "click" if i % 3 else "view") for i in range(60)]
+    order = [range(40, 60), range(0, 20), range(20, 40)]  # the smallest ids come in the second file
+    for n, part in enumerate(order):
+        df = spark.createDataFrame([rows[i] for i in part], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/events.parquet").withColumn("day", F.date_trunc("day", "ts"))
+    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/events.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet")
+    want = {tuple(r) for r in whole.groupBy("user_id", "event_type", "day").agg(F.min("event_id")).collect()}
+    assert {tuple(r) for r in E.first_of_day(source).collect()} == want
+    assert {tuple(r) for r in E.windowed(source).collect()} == {tuple(r) for r in whole.groupBy("day", "event_type").count().collect()}
+    assert {tuple(r) for r in E.latest_of(source).collect()} == {tuple(r) for r in whole.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("s")).select("user_id", "s.*").collect()}
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path, monkeypatch):
+    from docloom.streaming import events as E
+
+    spark.createDataFrame([(1, 1)], "event_id long, user_id long").write.parquet(f"{tmp_path}/e")
+    source = spark.readStream.schema("event_id long, user_id long").parquet(f"{tmp_path}/e")
+    monkeypatch.setattr(E, "new_folder", lambda s: f"{tmp_path}/out")
+    for state in ("a", "b"):  # a second stream begins at batch 0 again, into the same sink
+        monkeypatch.setattr(E, "new_folder", lambda s: f"{tmp_path}/out")
+        assert E.by_batches(source, lambda b: b.groupBy("user_id").count()).count() == 1
+        (tmp_path / "out" / "state").rename(tmp_path / f"state-{state}")
+
+
+def test_no_local_folder_on_a_cluster():
+    from docloom.session import shared_folder
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://x:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
 
 
 def test_keyed_tables(spark):

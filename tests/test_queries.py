@@ -12,7 +12,7 @@ def test_query(name, compare, spark, data):
     if name in SQL:
         compare(QUERIES[name], SQL[name])
     else:
-        assert QUERIES[name](spark, data).count() >= 0
+        assert QUERIES[name](spark, data).count() > 0  # their results are held against literals in test_functions.py
 
 
 def test_every_sql_belongs_to_a_query():

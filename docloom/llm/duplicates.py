@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import checkpointed, table
+from docloom.session import checkpointed, table, written
 
 BUCKETS = 1 << 16
 #: Occurrences that a partner must reach in the short lists alone.
@@ -52,7 +52,7 @@ def records(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     stand for the set. Written once; everything else starts from it."""
     cut = df.select(F.col(key).cast("long").alias("id"), words_of(text).alias("w")).where("id is not null").where(F.size("w") >= min_words)
     hashed = cut.select("id", F.array_sort(F.transform("w", lambda w: F.hash(w))).alias("words"))
-    return checkpointed(hashed.withColumn("k", F.struct(F.xxhash64("words").alias("a"), F.hash("words").alias("b"))))
+    return written(hashed.withColumn("k", F.struct(F.xxhash64("words").alias("a"), F.hash("words").alias("b"))))
 
 
 def classes(recs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def probe(candidates: DataFrame, per_mille: int) -> DataFrame:
 def classified(df: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, words) of each set of words, and (id, class_id) of all records with enough words."""
     recs = records(df, key, text, min_words)
-    cls = checkpointed(classes(recs))
+    cls = written(classes(recs))
     return cls.select("class_id", "words"), recs.select("id", "k").join(cls.select("k", "class_id"), "k").select("id", "class_id")
 
 

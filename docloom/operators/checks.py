@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import ending, fold, tidy_path
 from docloom.operators.sections import rows_of
-from docloom.session import table
+from docloom.session import spread, table, written
 
 KEY = r"(?md)^[ \t]*([A-Za-z_][A-Za-z0-9_.-]*)[ \t]*="
 CALL = r"(?:(?:fetch|axios\.[a-z]+|requests\.[a-z]+|http\.(?:Get|Post|Put|Delete))\([ \t]*[\"'](?:https?://[^/\"'\s]+)?|curl[^\n]*?https?://[^/\s\"']+)(/[^\"'?#\s]*)"
@@ -65,17 +67,42 @@ def called_paths(spark, sf_dir: str) -> DataFrame:
     return calls.groupBy("repo", "path").agg(F.count("*").alias("calls"))
 
 
-def grounded(quotes: DataFrame, texts: DataFrame, group: str, quote: str, key: str, text: str) -> DataFrame:
+#: Characters of quotes that one automaton is built from; more quotes mean further scans of the texts.
+BLOCK_CHARS = 4_000_000
+
+
+def grounded(quotes: DataFrame, texts: DataFrame, group: str, quote: str, key: str, text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(group, quote, first, texts): quotes with the texts of their group that contain them, blanks and case
-    aside; the first by key, and how many. A text that holds a quote holds its longest word: candidates meet on
-    group and word, each once per text, and only these are searched."""
-    word = r"([\p{L}\p{N}_]+)"
-    q = quotes.select(group, F.col(quote).alias("quote"), fold(F.col(quote)).alias("q")).where("q <> ''").distinct()
-    longest = F.reduce(F.regexp_extract_all("q", F.lit(word), F.lit(1)), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    q = q.withColumn("word", longest).where("word <> ''")
-    t = texts.select(group, F.col(key).alias("key"), fold(F.col(text)).alias("t"))
-    met = t.select(group, "key", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), F.lit(1)))).alias("word")).join(q, [group, "word"])
-    return met.join(t, [group, "key"]).where(F.contains("t", "q")).groupBy(group, "quote").agg(F.min("key").alias("first"), F.count("*").alias("texts"))
+    aside; the first by key, and how many. Quotes of letters or digits only by the block go to every task as one
+    automaton, which reads each text once; the texts stay where they are."""
+    word = r"[\p{L}\p{N}_]"
+    q = written(quotes.select(F.col(group).cast("string").alias("g"), F.col(quote).alias("quote"), fold(F.col(quote)).alias("q")).where(F.col("q").rlike(word)).distinct())
+    t = texts.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("key"), fold(F.col(text)).alias("t")).where("t <> ''")
+    size = q.agg(F.coalesce(F.sum(F.length("q")), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-size // block_chars))
+    out = None
+    for block in range(count):
+        shared = quotes.sparkSession.sparkContext.broadcast([tuple(r) for r in q.where(F.pmod(F.xxhash64("q"), F.lit(count)) == block).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list[tuple[str, str]]] = {}
+            for g, said, folded in shared.value:
+                held.setdefault(folded, []).append((g, said))
+            known = ahocorasick.Automaton()
+            for folded, where in held.items():
+                known.add_word(folded, (folded, where))
+            if held:
+                known.make_automaton()
+            for b in batches:
+                found = []
+                for g, k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    met = {folded: where for _, (folded, where) in known.iter(x)} if held else {}
+                    found += [(g, said, k) for where in met.values() for other, said in where if other == g]
+                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], type=x) for n, x in enumerate((pa.string(), pa.string(), pa.int64()))], names=["g", "quote", "key"])
+
+        part = spread(t).mapInArrow(run, "g string, quote string, key long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(F.col("g").alias(group), "quote").agg(F.min("key").alias("first"), F.count("*").alias("texts"))
 
 
 def grounded_headings(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import ending, matches_any, route, selected, tidy_path
-from docloom.session import table
+from docloom.session import table, written
 
 # What a language shows to others, by file ending; the first group is the name.
 PUBLIC = {
@@ -45,13 +45,18 @@ def coupling_stats(spark, sf_dir: str) -> DataFrame:
     return public_symbols(spark, sf_dir).groupBy("repo").agg(F.count("*").alias("symbols"), F.countDistinct("kind").alias("kinds"))
 
 
+#: So many names, about 50 bytes each, are broadcast.
+SHARED = 500_000
+
+
 def doc_references(spark, sf_dir: str) -> DataFrame:
-    """(symbol, doc_repo, doc_path): documents that mention a public name of at least four characters. Words
-    are made distinct per document before the exchange; the join is on the word."""
+    """(symbol, doc_repo, doc_path): documents that mention a public name of at least four characters. Up to
+    ``SHARED`` names go to every task, so only words that are names are exchanged; beyond, words made distinct per
+    document meet the names by an ordinary join."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     words = docs.select(F.col("repo").alias("doc_repo"), F.col("path").alias("doc_path"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)))).alias("symbol"))
-    names = public_symbols(spark, sf_dir).where("length(name) >= 4").select(F.col("name").alias("symbol")).distinct()
-    return words.join(names, "symbol", "left_semi").distinct()
+    names = written(public_symbols(spark, sf_dir).where("length(name) >= 4").select(F.col("name").alias("symbol")).distinct())
+    return words.join(F.broadcast(names) if names.count() <= SHARED else names, "symbol", "left_semi").distinct()
 
 
 def foreign_references(spark, sf_dir: str) -> DataFrame:

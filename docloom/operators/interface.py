@@ -123,7 +123,33 @@ def contract_gap(spark, sf_dir: str) -> DataFrame:
     return met.groupBy("repo", "route").agg(F.count("*").alias("consumers"), F.count_if(F.col("known").isNull()).alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (interface_symbols, interface_diff, touched_routes, file_churn, snapshot_blocks, provided_routes, contract_gap)}
+# What a reader of a page can depend on, by sort.
+TOKENS = {
+    "code": r"`([^`\n]{2,80})`", "route": r"(/v[0-9]+/[A-Za-z0-9_{}/:-]*[A-Za-z0-9_}])", "config": r"(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)", "file": r"([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z]{1,5})",
+    "version": r"(?:^|[^A-Za-z0-9_.])(v?[0-9]+\.[0-9]+(?:\.[0-9]+)*)", "quantity": r"(?:^|[^A-Za-z0-9_.])([0-9]+ (?:ms|s|h|MB|GB|%))",
+}
+
+
+def signature_changes(spark, sf_dir: str) -> DataFrame:
+    """What a page states exactly, by sort (code, routes, settings, files, versions, quantities): how many of these the
+    new text adds and drops against the published one."""
+    units = table(spark, sf_dir, "change_units").where("kind = 'docs' and after is not null")
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)))
+    sorts = F.array(*[F.struct(F.lit(n).alias("sort"), found(F.col("existing"), p).alias("old"), found(F.col("after"), p).alias("new")) for n, p in TOKENS.items()])
+    rows = units.select("change_id", F.explode(sorts).alias("s"))
+    return rows.select("change_id", "s.sort", F.size(F.array_except("s.new", "s.old")).cast("long").alias("added"), F.size(F.array_except("s.old", "s.new")).cast("long").alias("dropped")).where("added + dropped > 0")
+
+
+def interface_coverage(spark, sf_dir: str) -> DataFrame:
+    """Per change and kind: how much of what the code offers the published page names, case aside; a route by its
+    path."""
+    units = code(spark, sf_dir).where("after is not null")
+    rows = units.select("change_id", F.lower(F.coalesce("existing", F.lit(""))).alias("page"), F.explode(F.array_distinct(F.transform(interface(F.col("after"), F.col("filePath")), lambda s: s["key"]))).alias("key"))
+    name = F.lower(F.regexp_replace("key", "^[a-z]+:(?:[A-Z]+ )?", ""))
+    return rows.groupBy("change_id", F.regexp_extract("key", "^([a-z]+):", 1).alias("kind")).agg(F.count("*").alias("offered"), F.count_if(F.contains("page", name)).alias("named"))
+
+
+QUERIES = {f.__name__: f for f in (interface_symbols, interface_diff, touched_routes, file_churn, snapshot_blocks, provided_routes, contract_gap, signature_changes, interface_coverage)}
 _PATH = r"regexp_replace(regexp_replace(trim({}), '\\', '/', 'g'), '^(\./)+', '')"
 _END = rf"lower(regexp_extract({_PATH.format('filePath')}, '\.([A-Za-z0-9]+)$', 1))"
 
@@ -173,4 +199,6 @@ SQL = {
         c AS (SELECT DISTINCT repo AS consumer, {_route('p')} AS route FROM (SELECT repo, unnest(regexp_extract_all(after, '{_CALLS}', 1)) AS p FROM change_units WHERE after IS NOT NULL AND repo IS NOT NULL UNION ALL SELECT repo, unnest(regexp_extract_all(text, '{ROUTE_TEXT}', 1)) FROM documents WHERE repo IS NOT NULL)),
         k AS (SELECT DISTINCT repo AS consumer, {_route('p')} AS route, 1 AS known FROM (SELECT repo, unnest(regexp_extract_all(claim, '{ROUTE_TEXT}', 1)) AS p FROM claims WHERE approved))
         SELECT repo, route, count(*) AS consumers, count(*) FILTER (WHERE known IS NULL) AS missing FROM p JOIN c USING (route) LEFT JOIN k USING (consumer, route) WHERE consumer <> repo GROUP BY 1, 2""",
+    "signature_changes": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT change_id, '{n}' AS sort, CAST(len(list_filter(list_distinct(regexp_extract_all(after, '{p}', 1)), lambda x: NOT list_contains(regexp_extract_all(coalesce(existing, ''), '{p}', 1), x))) AS BIGINT) AS added, CAST(len(list_filter(list_distinct(regexp_extract_all(coalesce(existing, ''), '{p}', 1)), lambda x: NOT list_contains(regexp_extract_all(after, '{p}', 1), x))) AS BIGINT) AS dropped FROM change_units WHERE kind = 'docs' AND after IS NOT NULL" for n, p in TOKENS.items()) + ") WHERE added + dropped > 0",
+    "interface_coverage": f"SELECT o.change_id, regexp_extract(key, '^([a-z]+):', 1) AS kind, count(*) AS offered, count(*) FILTER (WHERE contains(lower(coalesce(u.existing, '')), lower(regexp_replace(key, '^[a-z]+:(?:[A-Z]+ )?', '')))) AS named FROM (SELECT DISTINCT change_id, key FROM ({_offers('after', 'after IS NOT NULL')})) o JOIN change_units u USING (change_id) GROUP BY 1, 2",
 }

@@ -110,6 +110,17 @@ def semantic_hits(spark, sf_dir: str, k: int = 6, floor: float = 0.2) -> DataFra
     return hits.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k).select("query_id", "place", "vec_id")
 
 
+def code_context(spark, sf_dir: str, k: int = 6, reach: int = 20, per_path: int = 2) -> DataFrame:
+    """Context of each query: of its ``reach`` best points those of other paths, at most ``per_path`` of a path, the
+    first ``k``."""
+    points = table(spark, sf_dir, "vector_points")
+    paths = points.select(F.col("vec_id").cast("long").alias("vec_id"), "path")
+    hits = search(points, asked(points), reach, ["repo"]).join(paths, "vec_id").join(paths.select(F.col("vec_id").alias("query_id"), F.col("path").alias("own")), "query_id").where("not (path <=> own)")
+    few = hits.withColumn("p", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("rank"))).where(F.col("p") <= per_path)
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return few.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k).select("query_id", "place", "vec_id")
+
+
 def chunk_similarity(spark, sf_dir: str) -> DataFrame:
     """Per page of the query set: the least, over its chunks in the set, of the greatest similarity to an approved chunk of
     the repository; 0 where there is none. High values mark pages that say nothing new."""
@@ -167,7 +178,7 @@ def word_vectors(spark, sf_dir: str) -> DataFrame:
     return slots(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text").select("doc_id", F.col("slot").cast("long").alias("slot"), "n")
 
 
-QUERIES = {f.__name__: f for f in (nearest_filtered, nearest_embeddings, best_per_point, semantic_hits, priority_merge, chunk_similarity, page_similarity, budget_prefix, word_vectors)}
+QUERIES = {f.__name__: f for f in (nearest_filtered, nearest_embeddings, best_per_point, semantic_hits, code_context, priority_merge, chunk_similarity, page_similarity, budget_prefix, word_vectors)}
 _P = "p AS (SELECT vec_id, repo, path, kind, CAST(embedding AS DOUBLE[]) AS e FROM vector_points WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0)"
 
 
@@ -180,6 +191,7 @@ SQL = {
     "nearest_embeddings": f"WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {_hits('h', 5, 'true')} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h",
     "best_per_point": f"WITH {_P}, {_hits('h', 20, 'q.repo = b.repo')}, b AS (SELECT v.repo AS request, h.vec_id, round(max(h.score), 6) AS score FROM h JOIN vector_points v ON v.vec_id = h.query_id WHERE h.score >= 0.1 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 10",
     "semantic_hits": f"WITH {_P}, {_hits('h', 12, 'q.repo = b.repo')} SELECT query_id, place, vec_id FROM (SELECT h.query_id, h.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h JOIN vector_points v USING (vec_id) WHERE v.kind = 'brief' OR h.score >= 0.2) WHERE place <= 6",
+    "code_context": f"WITH {_P}, {_hits('h', 20, 'q.repo = b.repo')}, x AS (SELECT h.query_id, h.vec_id, h.rank, row_number() OVER (PARTITION BY h.query_id, v.path ORDER BY h.rank) AS pp FROM h JOIN vector_points v ON v.vec_id = h.vec_id JOIN vector_points o ON o.vec_id = h.query_id WHERE v.path IS DISTINCT FROM o.path) SELECT query_id, place, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM x WHERE pp <= 2) WHERE place <= 6",
     "priority_merge": f"WITH {_P}, {_hits('a', 5, 'q.repo = b.repo AND q.kind = b.kind')}, {_hits('b2', 5, 'q.repo = b.repo')}, u AS (SELECT query_id, vec_id, min(s * 100 + rank) AS o FROM (SELECT 1 AS s, * FROM a UNION ALL SELECT 2 AS s, * FROM b2) GROUP BY 1, 2) SELECT query_id, place, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM u) WHERE place <= 8",
     "chunk_similarity": f"WITH {_P}, b AS (SELECT q.vec_id, q.repo, q.path, max(list_cosine_similarity(q.e, a.e)) AS s FROM p q LEFT JOIN p a ON a.repo = q.repo AND a.kind = 'approved' WHERE q.vec_id % 20 = 0 AND q.kind <> 'approved' GROUP BY 1, 2, 3) SELECT repo, path, round(min(coalesce(s, 0)), 6) AS similarity FROM b GROUP BY 1, 2",
     "page_similarity": f"WITH {_P}, b AS (SELECT q.vec_id, q.repo, q.path, max(list_cosine_similarity(q.e, a.e)) AS s FROM p q LEFT JOIN p a ON a.repo = q.repo AND a.kind = 'approved' WHERE q.kind <> 'approved' GROUP BY 1, 2, 3) SELECT repo, path, round(min(coalesce(s, 0)), 6) AS similarity FROM b GROUP BY 1, 2",

@@ -201,6 +201,44 @@ def rows_of(df: DataFrame, columns: list[str], function: Callable, ddl: str, sch
     return spread(df.select(*columns)).mapInArrow(run, ddl)
 
 
+def scope(text: str, operations: list[tuple[str, str, str]]) -> tuple[int, int, list[str]]:
+    """(characters of sections that operations touch, of all others, the touched sections)."""
+    touched = {section for _, section, _ in operations}
+    each = sections(text)
+    return sum(len(x) for p, _, x in each if p in touched), sum(len(x) for p, _, x in each if p not in touched), [p for p, _, _ in each if p in touched]
+
+
+def patched(pages: DataFrame, operations: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, patched, touched, untouched, sections): pages (key, text) after the operations (key, place, op, section,
+    body) on their sections, in order of place, and how much of each page these touch. Pages without operations
+    stay as they are; operations on sections or pages that are not there are left out."""
+    listed = operations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "op", "section", F.coalesce("body", F.lit("")).alias("body")))).alias("ops"))
+    met = pages.select(key, text).join(listed, key, "left")
+    schema = pa.schema([(key, pa.int64()), ("place", pa.int64()), ("patched", pa.string()), ("touched", pa.int64()), ("untouched", pa.int64()), ("sections", pa.string())])
+
+    def run(page: str | None, ops: list[dict] | None) -> list[tuple]:
+        todo = [(o["op"], o["section"], o["body"]) for o in ops or []]
+        touched, untouched, names = scope(page or "", todo)
+        return [(page if page is None else replace_sections(page, todo), touched, untouched, "|".join(names))]
+
+    return rows_of(met, [key, text, "ops"], run, f"`{key}` long, place long, patched string, touched long, untouched long, sections string", schema).drop("place")
+
+
+def patched_pages(spark, sf_dir: str) -> DataFrame:
+    """Published pages with the sections that the new text words otherwise put in, one by one, in their place: what
+    of the page that touches, and the digest of the result."""
+    units = table(spark, sf_dir, "change_units").where("kind = 'docs' and existing <> '' and after <> ''")
+    schema = pa.schema([("change_id", pa.int64()), ("place", pa.int64()), ("op", pa.string()), ("section", pa.string()), ("body", pa.string())])
+
+    def differing(old: str, new: str) -> list[tuple]:
+        before = {p: x for p, _, x in sections(old)}
+        return [("replace", p, x) for p, _, x in sections(new) if p in before and before[p] != x]
+
+    operations = rows_of(units, ["change_id", "existing", "after"], differing, "change_id long, place long, op string, section string, body string", schema)
+    done = patched(units, operations, "change_id", "existing")
+    return done.select("change_id", "touched", "untouched", F.md5("patched").alias("digest"))
+
+
 def document_sections(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text <> ''")
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("section", pa.string()), ("level", pa.int32()), ("chars", pa.int64())])
@@ -239,7 +277,7 @@ def section_lengths(spark, sf_dir: str) -> DataFrame:
     return document_sections(spark, sf_dir).groupBy("doc_id").agg(F.sum("chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (document_sections, document_chunks, code_chunks, page_differences, chunk_lines, section_lengths)}
+QUERIES = {f.__name__: f for f in (document_sections, document_chunks, code_chunks, page_differences, patched_pages, chunk_lines, section_lengths)}
 SQL = {
     "chunk_lines": "SELECT change_id, CAST(len(string_split(after, chr(10))) AS BIGINT) AS lines, CAST(1 AS BIGINT) AS windows FROM change_units WHERE kind = 'code' AND after <> '' AND len(string_split(after, chr(10))) <= 80 AND regexp_matches(after, '[^ \\t\\r\\n\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}]')",
     "section_lengths": "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE text <> ''",

@@ -118,3 +118,21 @@ def test_checks(spark):
     df = spark.createDataFrame([(1, None), (1, 5), (None, -1)], "id long, v int")
     got = {(r.check, r.n) for r in indexing.checks(df, "t", "id", {"null_v": F.col("v").isNull(), "negative": F.col("v") < 0}).collect()}
     assert got == {("null_v", 1), ("negative", 1), ("repeated_key", 1)}
+
+
+def test_patched(spark):
+    from docloom.operators.sections import patched
+
+    pages = spark.createDataFrame([(1, "# A\nx\n\n# B\ny\n"), (2, "# A\nx\n"), (3, None)], "id long, t string")
+    operations = spark.createDataFrame([(1, 1, "delete", "B", None), (1, 0, "replace", "A", "# A\nnew"), (1, 2, "delete", "nowhere", None), (9, 0, "delete", "A", None)], "id long, place int, op string, section string, body string")
+    got = {r.id: (r.patched, r.touched, r.untouched, r.sections) for r in patched(pages, operations, "id", "t").collect()}
+    assert got == {1: ("# A\nnew\n\n", 13, 0, "A|B"), 2: ("# A\nx\n", 0, 6, ""), 3: (None, 0, 0, "")}
+
+
+def test_quotes_in_blocks(spark):
+    from docloom.operators.checks import grounded
+
+    quotes = spark.createDataFrame([("r", "config"), ("r", "Two  words"), ("s", "config"), ("r", "none such")], "g string, q string")
+    texts = spark.createDataFrame([("r", 1, "the configuration"), ("r", 2, "CONFIG and two\nwords"), ("s", 3, "nothing"), ("r", 4, None)], "g string, k long, t string")
+    for block_chars in (1000, 6):
+        assert {tuple(r) for r in grounded(quotes, texts, "g", "q", "k", "t", block_chars).collect()} == {("r", "config", 1, 2), ("r", "Two  words", 2, 1)}

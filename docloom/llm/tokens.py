@@ -16,7 +16,7 @@ import os
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.arrow import batch, flag, map_batches
@@ -32,6 +32,19 @@ SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}\p{M}])(?=[ \n])")
 _encoders: dict[int, object] = {}
 
 
+def content_of(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes, from the driver's disk or, by the session's file systems, from any shared storage."""
+    if os.path.exists(path):
+        with open(path, "rb") as file:
+            return file.read()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def encoder(content: bytes):
     """The encoder of a rank file's content, built once per process."""
     import tiktoken
@@ -72,8 +85,7 @@ def decode(ids: list[int], enc) -> str:
 
 def with_ids(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """``key`` and ``ids ARRAY<INT>`` of every row of ``df``."""
-    with open(path, "rb") as file:
-        ranks = df.sparkSession.sparkContext.broadcast(file.read())
+    ranks = df.sparkSession.sparkContext.broadcast(content_of(df.sparkSession, path))
     schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(rows: pa.RecordBatch):
@@ -85,8 +97,7 @@ def with_ids(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
 def round_trip(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: number of ids, and whether raw-byte decoding gives back the text."""
-    with open(path, "rb") as file:
-        ranks = df.sparkSession.sparkContext.broadcast(file.read())
+    ranks = df.sparkSession.sparkContext.broadcast(content_of(df.sparkSession, path))
     schema = pa.schema([(key, pa.int64()), ("n_ids", pa.int64()), ("same", pa.bool_())])
 
     def run(rows: pa.RecordBatch):
@@ -114,6 +125,5 @@ def p7_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 
-
 QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
 SQL: dict[str, str] = {}

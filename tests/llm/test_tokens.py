@@ -40,3 +40,10 @@ def test_tables(spark):
     assert dict(got)[1] == [] and dict(got)[2] == [] and len(got) == 6 and dict(got)[3] == dict(got)[None]
     assert T.with_ids(df.limit(0), "doc_id", "text", PATH).count() == 0
     assert {r.same for r in T.round_trip(df, "doc_id", "text", PATH).collect()} == {True}
+
+
+def test_rank_file_from_any_file_system(spark, tmp_path):
+    from docloom.llm.tokens import content_of
+
+    (tmp_path / "r").write_bytes(b"IQ== 0\n\xff")
+    assert content_of(spark, str(tmp_path / "r")) == content_of(spark, f"file://{tmp_path}/r") == b"IQ== 0\n\xff"

@@ -472,8 +472,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 told.add((x, y, secret_word))
                 # every token that the stretch touches, in full
                 for t0, t1 in zip(starts[(i := bisect_right(stops, x)) : (j := bisect_left(starts, y))], stops[i:j], strict=True):
-                    if text[t1 : t1 + 1] in ("(", "[", "{", "<") or (t0, secret_word) in judged:
-                        continue
+                    if text[t1 : t1 + 1] in ("(", "[", "{", "<") or (t0, secret_word) in judged or t0 <= a < t1 and t1 - t0 > 64:
+                        continue  # data that happens to hold the word says nothing
                     judged.add((t0, secret_word))
                     value = text[t0:t1]
                     value = value.rstrip(".,;:!?") if t1 < line_end and value.endswith((",", ";", ":")) else value

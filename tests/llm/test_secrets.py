@@ -126,6 +126,10 @@ def test_emptied_key_blocks_are_silent():
     assert S.findings(block) and S.findings(S.redact(block)) == []
 
 
+def test_words_within_data():
+    assert S.findings(f"a\n{RANDOM}+pw/{RANDOM}Vdq62+vAh8iUXVJP\nb") == []
+
+
 def test_long_text():
     text = ("token " * 50_000) + "\npassword = 'Harbor-Maple-42!'\n" + "x" * 200_000
     assert [s for _, _, s in S.findings(text)] == ["named"]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.session import table
+from docloom.session import spread, table
 
 DEPTH = 5
 WIDTH = 2048
@@ -252,7 +252,7 @@ def sketch(df: DataFrame, keys: list[str], value: str, weight: Column | None = N
         if held:
             yield from given()
 
-    return plain.mapInArrow(run, f"{ddl}, cells binary")
+    return spread(plain).mapInArrow(run, f"{ddl}, cells binary")
 
 
 def added(batches: Iterator[pa.RecordBatch], n: int, whole: bool) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:

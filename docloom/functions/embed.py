@@ -16,6 +16,5 @@ def word_slot(word: Column, dimension: int = DIMENSION) -> Column:
 def slots(df: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
     """(key, slot, n): the non-zero parts of each text's vector. Null and blank texts have none."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([a-z0-9_]+)"))).alias("word"))
-    # words repeat: each distinct one is hashed once per text
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counted.select(key, word_slot(F.col("word"), dimension).alias("slot"), "n").groupBy(key, "slot").agg(F.sum("n").alias("n"))
+    # counted on the map side: at most one row per part of the vector and text is exchanged, no words
+    return words.groupBy(key, word_slot(F.col("word"), dimension).alias("slot")).agg(F.count("*").alias("n"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.session import spread, table
+from docloom.session import table
 
 DEPTH = 5
 WIDTH = 2048
@@ -212,6 +212,15 @@ def sketch_rows(schema: pa.Schema, names: list[tuple], keys: np.ndarray, weights
         yield rows_of(schema, [names[g] for g in group[at : at + 2000]], [blobs[at : at + 2000]])
 
 
+def spread_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A scan of few files gets a partition for each core, and equal values of a group go to the same, so that they
+    are counted before they are sketched; a wide scan stays as it is. A hot group goes to several partitions."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, *keys, F.pmod(F.hash("value"), F.lit(cores)))
+
+
 def sketch(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Rows (keys, cells) that add up to one sketch per group, built by each task from what it scans."""
     plain = df.select(*keys, (F.col(value).cast("long") + F.lit(OFFSET)).alias("value"), (weight if weight is not None else F.lit(1)).cast("long").alias("weight")).where("value is not null and weight is not null")
@@ -252,7 +261,7 @@ def sketch(df: DataFrame, keys: list[str], value: str, weight: Column | None = N
         if held:
             yield from given()
 
-    return spread(plain).mapInArrow(run, f"{ddl}, cells binary")
+    return spread_by(plain, keys).mapInArrow(run, f"{ddl}, cells binary")
 
 
 def added(batches: Iterator[pa.RecordBatch], n: int, whole: bool) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:

@@ -174,7 +174,7 @@ def repeated_reasons(spark, sf_dir: str) -> DataFrame:
 
 def without_bodies(df: DataFrame, *bodies: str) -> DataFrame:
     """Results for a report: long texts go, their lengths stay."""
-    return df.select(*[c for c in df.columns if c not in bodies], *[F.length(b).cast("long").alias(f"{b}_chars") for b in bodies])
+    return df.select(*[c for c in df.columns if c not in bodies], *[F.coalesce(F.length(b), F.lit(0)).cast("long").alias(f"{b}_chars") for b in bodies])
 
 
 def run_results(spark, sf_dir: str) -> DataFrame:
@@ -197,6 +197,6 @@ SQL = {
     "routed_comments": "WITH s AS (SELECT id, repo, path, row_number() OVER (PARTITION BY run_id ORDER BY id) AS r FROM decisions WHERE reason <> ''), p AS (SELECT DISTINCT repo, path FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL), a AS (SELECT repo, count(*) AS n FROM p GROUP BY 1) SELECT id, p.repo IS NOT NULL AS own, CASE WHEN p.repo IS NOT NULL THEN 1 ELSE coalesce(a.n, 0) END AS pages FROM s LEFT JOIN p ON p.repo = s.repo AND p.path = s.path LEFT JOIN a ON a.repo = s.repo WHERE r <= 30",
     "fact_lines": "SELECT id, CASE WHEN flag IS NOT NULL THEN 'CONFLICT: ' || fact || CASE WHEN coalesce(flag_detail, '') <> '' THEN ' (' || flag_detail || ')' ELSE '' END ELSE '- ' || fact || CASE WHEN coalesce(source_path, '') <> '' THEN ' [' || source_path || ']' ELSE '' END END AS line FROM repo_facts",
     "required_documentation": "SELECT repo, evidence, count(*) AS claims FROM claims WHERE evidence <> '' GROUP BY 1, 2 HAVING count(*) FILTER (WHERE approved) = 0",
-    "run_results": "SELECT id, run_id, repo, path, commit, outcome, reviewer_action, root_cause_tag, CAST(length(reason) AS BIGINT) AS reason_chars, CAST(length(metrics) AS BIGINT) AS metrics_chars, CAST(length(attempts) AS BIGINT) AS attempts_chars FROM decisions",
+    "run_results": "SELECT id, run_id, repo, path, commit, outcome, reviewer_action, root_cause_tag, CAST(coalesce(length(reason), 0) AS BIGINT) AS reason_chars, CAST(coalesce(length(metrics), 0) AS BIGINT) AS metrics_chars, CAST(coalesce(length(attempts), 0) AS BIGINT) AS attempts_chars FROM decisions",
     "repeated_reasons": "SELECT trim(regexp_replace(lower(reason), '[ \\t\\r\\n]+', ' ', 'g')) AS reason, min(id) AS first, count(*) AS n FROM decisions WHERE reason <> '' GROUP BY 1 HAVING count(*) > 1",
 }

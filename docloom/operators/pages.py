@@ -68,7 +68,7 @@ def new_identifiers(spark, sf_dir: str) -> DataFrame:
 def clean_files(spark, sf_dir: str, most: int | None = MAX_FILES, bytes_: int | None = MAX_BYTES) -> DataFrame:
     """Changed files of a delivery, trimmed, each once, without absolute paths and ``..``, up to the first that
     would exceed the number or the total length; the fold stops counting there."""
-    trimmed = F.array_distinct(F.filter(F.transform("changedFiles", F.trim), lambda f: (f != "") & ~f.startswith("/") & ~f.rlike(r"(^|/)\.\.(/|$)")))
+    trimmed = F.array_distinct(F.filter(F.transform("changedFiles", lambda f: F.trim(f)), lambda f: (f != "") & ~f.startswith("/") & ~f.rlike(r"(^|/)\.\.(/|$)")))
     most, bytes_ = most or 2**31 - 1, bytes_ or 2**31 - 1
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"), F.lit(True).alias("open"))
     fold = F.aggregate(trimmed, start, lambda a, f: F.when(a["open"] & (a["n"] < most) & (a["b"] + F.octet_length(f) <= bytes_), F.struct((a["n"] + 1).alias("n"), (a["b"] + F.octet_length(f)).alias("b"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["b"].alias("b"), F.lit(False).alias("open"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.runs", "operators.changes", "operators.coupling", "operators.facts", "operators.segments", "operators.retrieval", "operators.sections", "operators.pages", "operators.profile", "operators.checks", "operators.interface", "operators.indexing", "operators.judged", "operators.composed", "streaming.events")
+MODULES = ("operators.runs", "operators.changes", "operators.coupling", "operators.facts", "operators.segments", "operators.retrieval", "operators.sections", "operators.pages", "operators.profile", "operators.checks", "operators.interface", "operators.indexing", "operators.judged", "operators.composed", "operators.evidence", "streaming.events")
 
 
 def _merge(attribute: str) -> dict:

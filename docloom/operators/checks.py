@@ -67,6 +67,37 @@ def called_paths(spark, sf_dir: str) -> DataFrame:
     return calls.groupBy("repo", "path").agg(F.count("*").alias("calls"))
 
 
+# What stands before a path literal in a call, endings of files that are no API, first folders that are none, and file endings of code that calls.
+LITERAL = r"(?:^|[^A-Za-z0-9_.@])(@[A-Za-z0-9_.]+[ \t]*\([^\"'`()\r\n]*|[A-Za-z0-9_.]+[ \t]*\([ \t]*|\+[ \t]*)?[fF]?[\"'`]((?:\$\{[^}\"'`\r\n]*\}|\$[A-Za-z0-9_]+|\{[A-Za-z0-9_.]+\})?/[A-Za-z0-9_\-./{}:$<>?=&%,~@+]*)[\"'`]([ \t]*\+)?"
+BASE = r"^(?:\$\{[^}]*\}|\$[A-Za-z0-9_]+|\{[A-Za-z0-9_.]+\})"
+ASSET = r"(?i)\.(?:js|mjs|css|map|png|jpe?g|gif|svg|ico|webp|woff2?|ttf|eot|html?|txt|xml|pdf|md|json|ya?ml|properties|java|kt|py)$"
+NO_API = r"(?i)^/(?:usr|etc|var|tmp|home|opt|dev|proc|bin|static|assets|images|img|css|js|fonts|node_modules|public|favicon\.ico)/"
+API = r"(?i)^/(?:api|rest|v[0-9]+)(?:/|$)"
+ONLY_BASE = r"(?i)^(?:/+(?:api|rest|v[0-9]+))+$"
+HTTP = r"(?i)(?:^|\.)(?:fetch|axios|http|https|api|client|request|requests|httpx|session|uri|path|get|post|put|patch|delete|exchange|getfor|postfor|retrieve)[A-Za-z0-9_]*[ \t]*\([ \t]*$"
+SERVES = r"(?:^|\.)(?:app|router|server)\.(?:get|post|put|patch|delete|all|use)[ \t]*\([ \t]*$"
+CALLERS = ("java", "kt", "js", "jsx", "mjs", "cjs", "ts", "tsx", "py")
+
+
+def client_paths(units: DataFrame) -> DataFrame:
+    """(repo, path, units): the API paths that code requests. A literal counts that has two segments or more beyond a
+    variable base, is no asset, no file of the system and not only a base path, and either begins like an API or is
+    the argument of an HTTP call. Pieces of a concatenation are no calls, and routes that the code serves itself
+    (annotations, router calls) aren't either. Null and empty texts call nothing."""
+    code = units.where("kind = 'code' and after <> ''").where(ending(F.col("filePath")).isin(*CALLERS))
+    met = code.select("repo", "change_id", F.explode(F.array_distinct(F.regexp_extract_all("after", F.lit("(?md)" + LITERAL), F.lit(0)))).alias("m"))
+    part = lambda n: F.regexp_extract("m", LITERAL, n)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(2), BASE, ""), r"[?#].*$", ""), r"/+$", "")
+    cut = met.select("repo", "change_id", part(1).alias("lead"), part(3).alias("more"), path.alias("path"))
+    whole = cut.where("more = '' and lead not like '+%' and lead not like '@%'").where(~F.col("lead").rlike(SERVES))
+    paths = whole.where(F.col("path").rlike("^/[^/]+/+[^/]") & ~F.col("path").rlike(ASSET) & ~F.col("path").rlike(NO_API) & ~F.col("path").rlike(ONLY_BASE))
+    return paths.where(F.col("path").rlike(API) | F.col("lead").rlike(HTTP)).groupBy("repo", "path").agg(F.countDistinct("change_id").alias("units"))
+
+
+def called_routes(spark, sf_dir: str) -> DataFrame:
+    return client_paths(table(spark, sf_dir, "change_units"))
+
+
 #: Characters of quotes that one automaton is built from; more quotes mean further scans of the texts.
 BLOCK_CHARS = 4_000_000
 
@@ -123,12 +154,18 @@ def page_checks(spark, sf_dir: str) -> DataFrame:
     return units.select("change_id", F.array_join(F.filter(F.array(*reasons), lambda r: r.isNotNull()), ",").alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (config_keys, nested_keys, called_paths, grounded_headings, page_checks)}
+QUERIES = {f.__name__: f for f in (config_keys, nested_keys, called_paths, called_routes, grounded_headings, page_checks)}
 _PATH = r"regexp_replace(regexp_replace(trim({}), '\\', '/', 'g'), '^(\./)+', '')"
 _FOLD = "trim(regexp_replace(lower({}), '[ \\t\\r\\n]+', ' ', 'g'))"
+_sql = lambda pattern: pattern.replace("'", "''")
 SQL = {
     "config_keys": rf"WITH u AS (SELECT change_id, after, {_PATH.format('filePath')} AS p FROM change_units WHERE kind = 'code' AND after IS NOT NULL) SELECT change_id, key, count(*) AS n FROM (SELECT change_id, unnest(regexp_extract_all(after, '(?m)^[ \t]*([A-Za-z_][A-Za-z0-9_.-]*)[ \t]*=', 1)) AS key FROM u WHERE regexp_matches(lower(p), '\.(properties|toml|env)$') OR regexp_matches(p, '(^|/)\.env(\.[a-z]+)?$')) GROUP BY 1, 2",
     "called_paths": f"SELECT repo, path, count(*) AS calls FROM (SELECT repo, unnest(regexp_extract_all(after, '{CALL.replace(chr(39), chr(39) * 2)}', 1)) AS path FROM change_units WHERE after IS NOT NULL) GROUP BY 1, 2",
+    "called_routes": rf"""WITH m AS (SELECT repo, change_id, unnest(list_distinct(regexp_extract_all(after, '(?m){_sql(LITERAL)}', 0))) AS m FROM change_units
+        WHERE kind = 'code' AND after <> '' AND lower(regexp_extract(trim(filePath), '\.([A-Za-z0-9]+)$', 1)) IN {CALLERS}),
+        c AS (SELECT repo, change_id, regexp_extract(m, '{_sql(LITERAL)}', 1) AS lead, regexp_extract(m, '{_sql(LITERAL)}', 3) AS more, regexp_replace(regexp_replace(regexp_replace(regexp_extract(m, '{_sql(LITERAL)}', 2), '{BASE}', ''), '[?#].*$', ''), '/+$', '') AS path FROM m)
+        SELECT repo, path, count(DISTINCT change_id) AS units FROM c WHERE more = '' AND NOT starts_with(lead, '+') AND NOT starts_with(lead, '@') AND NOT regexp_matches(lead, '{SERVES}')
+        AND regexp_matches(path, '^/[^/]+/+[^/]') AND NOT regexp_matches(path, '{ASSET}') AND NOT regexp_matches(path, '{NO_API}') AND NOT regexp_matches(path, '{ONLY_BASE}') AND (regexp_matches(path, '{API}') OR regexp_matches(lead, '{HTTP}')) GROUP BY 1, 2""",
     "grounded_headings": f"WITH q AS (SELECT DISTINCT repo, heading AS quote, {_FOLD.format('heading')} AS q FROM vector_points WHERE heading IS NOT NULL AND repo IS NOT NULL), d AS (SELECT repo, doc_id, {_FOLD.format('text')} AS t FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL) SELECT q.repo, q.quote, min(doc_id) AS first, count(*) AS texts FROM q JOIN d ON d.repo = q.repo AND contains(d.t, q.q) WHERE regexp_matches(q.q, '[\\p{{L}}\\p{{N}}_]') GROUP BY 1, 2",
     "page_checks": "SELECT change_id, concat_ws(',', CASE WHEN length(after) < 200 THEN 'short' END, CASE WHEN length(after) > 120000 THEN 'long' END, CASE WHEN len(regexp_extract_all(after, '(?m)^(?:```|~~~)')) % 2 = 1 THEN 'open fence' END, CASE WHEN len(regexp_extract_all(after, '(?m)^#{1,6} ')) = 0 THEN 'no heading' END, CASE WHEN length(coalesce(existing, '')) > 400 AND (length(after) < 0.25 * length(existing) OR length(after) > 4 * length(existing)) THEN 'size' END) AS reasons FROM change_units WHERE kind = 'docs' AND after IS NOT NULL",
 }

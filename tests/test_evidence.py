@@ -1,6 +1,6 @@
 """Budgets, records and manifests on small fixtures: nulls, empty texts, empty tables, columns of the same names."""
 
-from docloom.operators import evidence, pages
+from docloom.operators import checks, evidence, pages
 
 UNIT = "change_id long, kind string, repo string, filePath string, before string, after string, changedFiles array<string>, page string, place string"
 
@@ -67,3 +67,24 @@ def test_listed_files_are_trimmed(spark, tmp_path):
     spark.createDataFrame(units, UNIT).write.parquet(str(tmp_path / "change_units.parquet"))
     assert rows(pages.clean_files(spark, str(tmp_path)), "change_id", "files", "bytes") == [(1, 3, 8)]
     assert rows(pages.clean_files(spark, str(tmp_path), 2, None), "change_id", "files", "bytes") == [(1, 2, 6)]
+
+
+def test_client_paths(spark):
+    js = """
+const r = await fetch("/api/v1/orders?x=1");
+axios.get(`${BASE}/billing/invoices/`);
+app.get("/api/served/route", h);
+const url = "/api/v2/piece" + id;
+const url2 = base + "/api/v2/tail";
+load("/images/x/logo.png"); open("/etc/app/conf"); log("/plain/path"); const root = "/api/v1"; fetch("/one");
+"""
+    java = '@GetMapping(value = "/api/mapped/x")\nrest.getForObject("/users/all/{id}", T.class);\nString S = "//host/api/x";\n'
+    py = '@app.get("/api/decorated/y")\nrequests.post(f"{base}/api/items/new")\nx = \'/v1/a/b\'\n'
+    units = [unit(1, "a.ts", js), unit(2, "A.java", java), unit(3, "c.py", py), unit(4, "d.py", py), unit(5, "e.md", js), unit(6, "f.js", ""), unit(7, "g.js", None), unit(8, "h.js", js, kind="docs")]
+    df = spark.createDataFrame(units, UNIT)
+    assert rows(checks.client_paths(df), "path", "units") == [
+        ("/api/items/new", 2), ("/api/v1/orders", 1), ("/billing/invoices", 1), ("/users/all/{id}", 1), ("/v1/a/b", 2),
+    ]
+    assert rows(checks.client_paths(df.limit(0)), "path") == []
+    long = spark.createDataFrame([unit(1, "a.js", "a" * 2_000_000), unit(2, "b.js", "@a(" * 200_000), unit(3, "c.js", '"/' * 200_000)], UNIT)
+    assert rows(checks.client_paths(long), "path") == []

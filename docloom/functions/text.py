@@ -91,6 +91,17 @@ def selected(path: Column, scope: list[str], exclude: list[str]) -> Column:
     return wanted & ~matches_any(path, exclude)
 
 
+def joint_scope(scopes: list[list[str] | None]) -> list[str]:
+    """The globs of several pages together, each once, in order; a page without any covers everything, so the result
+    then is empty, which ``selected`` reads as everything."""
+    return list(dict.fromkeys(g for scope in scopes for g in scope)) if all(scopes) else []
+
+
+def present(value: Column, number: bool = False) -> Column:
+    """Neither null, nor empty, nor (a number) NaN; never null itself."""
+    return value.isNotNull() & ~F.coalesce(F.isnan(value) if number else value == "", F.lit(False))
+
+
 def slug(text: Column) -> Column:
     """Lower case, everything but letters and digits as single hyphens, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")

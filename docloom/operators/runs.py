@@ -66,6 +66,21 @@ def latest_decision(spark, sf_dir: str) -> DataFrame:
     return met.groupBy("repo", "path", "short").agg(F.max("id").alias("id"), F.max_by("outcome", "id").alias("outcome"))
 
 
+def pending(pages: DataFrame, decisions: DataFrame, least: int = 7) -> DataFrame:
+    """For each (repo, path, short) of the pages: its newest decision that waits for review and whose commit begins
+    with ``short``, however long that is. Shorter ones than ``least`` characters meet nothing. The first characters are
+    an equality; the rest is tested on what meets."""
+    head = lambda c: F.left(F.col(c), F.lit(least))
+    asked = pages.where(F.length("short") >= least).select("repo", "path", "short", head("short").alias("head")).distinct()
+    waiting = decisions.where("outcome = 'pending_review' and commit is not null").select("repo", "path", head("commit").alias("head"), "id", F.col("commit").alias("whole"))
+    met = asked.join(waiting, ["repo", "path", "head"]).where(F.startswith("whole", "short"))
+    return met.groupBy("repo", "path", "short").agg(F.max("id").alias("id"), F.max_by("whole", "id").alias("commit"))
+
+
+def pending_decision(spark, sf_dir: str) -> DataFrame:
+    return pending(table(spark, sf_dir, "node_logs").select("repo", "path", F.col("commit").alias("short")), table(spark, sf_dir, "decisions"))
+
+
 def stage_status(spark, sf_dir: str) -> DataFrame:
     """Rows per stage and status, with the shares within the stage."""
     counted = table(spark, sf_dir, "node_logs").groupBy("node", "status").agg(F.count("*").alias("n"))
@@ -81,7 +96,7 @@ def attempts(spark, sf_dir: str) -> DataFrame:
     return scores.select("id", F.size("p").cast("long").alias("n"), F.array_max("p").alias("best"), F.get("p", F.lit(0)).alias("first"), ((F.size("p") >= 3) & (F.array_max("p") - F.get("p", F.lit(0)) < 0.05)).alias("stuck"))
 
 
-QUERIES = {f.__name__: f for f in (run_rollup, newest_runs, root_cause_backlog, run_positions, spend_guard, latest_decision, stage_status, attempts)}
+QUERIES = {f.__name__: f for f in (run_rollup, newest_runs, root_cause_backlog, run_positions, spend_guard, latest_decision, pending_decision, stage_status, attempts)}
 _USD = "(coalesce(CASE WHEN json_valid(note) THEN TRY_CAST(json_extract_string(note, '$.usage.cheap.usd') AS DECIMAL(18,6)) END, 0) + coalesce(CASE WHEN json_valid(note) THEN TRY_CAST(json_extract_string(note, '$.usage.expensive.usd') AS DECIMAL(18,6)) END, 0))"
 _ROLLUP = f"SELECT run_id, repo, min(created_at) AS started, max(created_at) AS ended, count(*) AS stages, count(*) FILTER (WHERE status = 'error') AS errors, CAST(sum({_USD}) AS DOUBLE) AS spent FROM node_logs GROUP BY run_id, repo"
 SQL = {
@@ -91,6 +106,7 @@ SQL = {
     "run_positions": "SELECT id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS place, node FROM node_logs",
     "spend_guard": f"WITH s AS (SELECT id, run_id, {_USD} AS usd FROM node_logs), w AS (SELECT id, run_id, coalesce(sum(usd) OVER (PARTITION BY run_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, usd - coalesce(lag(usd) OVER (PARTITION BY run_id ORDER BY id), 0) AS d FROM s) SELECT id, run_id, CAST(b AS DOUBLE) AS before, CAST(d AS DOUBLE) AS delta, b < 0.5 AS attempted FROM w",
     "latest_decision": "WITH p AS (SELECT DISTINCT repo, path, left(commit, 7) AS short FROM node_logs WHERE length(commit) >= 7) SELECT p.repo, p.path, p.short, max(d.id) AS id, arg_max(d.outcome, d.id) AS outcome FROM p JOIN decisions d ON d.repo = p.repo AND d.path = p.path AND starts_with(d.commit, p.short) GROUP BY 1, 2, 3",
+    "pending_decision": "WITH p AS (SELECT DISTINCT repo, path, commit AS short FROM node_logs WHERE length(commit) >= 7) SELECT p.repo, p.path, p.short, max(d.id) AS id, arg_max(d.commit, d.id) AS commit FROM p JOIN decisions d ON d.repo = p.repo AND d.path = p.path AND left(d.commit, 7) = left(p.short, 7) AND starts_with(d.commit, p.short) WHERE d.outcome = 'pending_review' GROUP BY 1, 2, 3",
     "stage_status": "SELECT node, status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY node), 9) AS share FROM node_logs GROUP BY 1, 2",
     "attempts": "WITH d AS (SELECT id, list_transform(CAST(attempts AS JSON[]), lambda x: CAST(json_extract(x, '$.precision') AS DOUBLE)) AS p FROM decisions WHERE json_valid(attempts)) SELECT id, len(p) AS n, list_max(p) AS best, p[1] AS first, len(p) >= 3 AND list_max(p) - p[1] < 0.05 AS stuck FROM d WHERE len(p) > 0",
 }

@@ -1,6 +1,7 @@
 """Budgets, records and manifests on small fixtures: nulls, empty texts, empty tables, columns of the same names."""
 
-from docloom.operators import checks, evidence, pages
+from docloom.functions import text
+from docloom.operators import checks, evidence, pages, runs
 
 UNIT = "change_id long, kind string, repo string, filePath string, before string, after string, changedFiles array<string>, page string, place string"
 
@@ -88,3 +89,22 @@ load("/images/x/logo.png"); open("/etc/app/conf"); log("/plain/path"); const roo
     assert rows(checks.client_paths(df.limit(0)), "path") == []
     long = spark.createDataFrame([unit(1, "a.js", "a" * 2_000_000), unit(2, "b.js", "@a(" * 200_000), unit(3, "c.js", '"/' * 200_000)], UNIT)
     assert rows(checks.client_paths(long), "path") == []
+
+
+def test_pending(spark):
+    asked = spark.createDataFrame([("r", "p", "abcdef0"), ("r", "p", "abcdef01"), ("r", "p", "abc"), ("r", "p", None), ("r", None, "abcdef0"), ("r", "p", "abcdef0")], "repo string, path string, short string")
+    held = [
+        (1, "r", "p", "abcdef0199", "pending_review"), (2, "r", "p", "abcdef0299", "pending_review"), (3, "r", "p", "abcdef0399", "published"),
+        (4, "r", "p", "abcdef", "pending_review"), (5, "r", "p", None, "pending_review"), (6, "r", None, "abcdef0199", "pending_review"),
+    ]
+    decisions = spark.createDataFrame(held, "id long, repo string, path string, commit string, outcome string")
+    assert rows(runs.pending(asked, decisions), "short", "id", "commit") == [("abcdef0", 2, "abcdef0299"), ("abcdef01", 1, "abcdef0199")]
+    assert rows(runs.pending(asked, decisions.limit(0)), "id") == []
+
+
+def test_joint_scope_and_present(spark):
+    assert text.joint_scope([["a/**"], ["b/**", "a/**"]]) == ["a/**", "b/**"]
+    assert text.joint_scope([["a/**"], []]) == text.joint_scope([["a/**"], None]) == text.joint_scope([]) == []
+    df = spark.createDataFrame([("x", 1.0), ("", float("nan")), (None, None)], "s string, d double")
+    got = df.select(text.present(df.s).alias("s"), text.present(df.d, True).alias("d")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]

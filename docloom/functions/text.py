@@ -102,6 +102,19 @@ def present(value: Column, number: bool = False) -> Column:
     return value.isNotNull() & ~F.coalesce(F.isnan(value) if number else value == "", F.lit(False))
 
 
+# Files and folders that hold secrets, endings of documents, and marks of what a document's reader must not pass on.
+SENSITIVE_PATH = r"(?i)(^|/)(\.env(\..+)?$|[^/]*\.(pem|key|p12|pfx|keystore)$|id_(rsa|ed25519|ecdsa)$|credentials\.(json|ya?ml)$|service[-_]?account[^/]*\.json$|secrets?\.(json|ya?ml)$|secrets?/)"
+DOCUMENT_PATH = r"(?i)\.(md|mdx|txt|csv|json|ya?ml)$"
+SENSITIVE_TEXT = r"(?i)(classification[ \t]*:[^\n]*\b(restricted|confidential|secret)\b|internal use only|do not distribute|strictly confidential|confidential and proprietary)"
+
+
+def sensitive(path: Column, content: Column | None = None) -> Column:
+    """``path``, ``content`` or null: why a file is sensitive. Its path is that of secrets, or it is a document whose
+    text is marked. Null paths and texts are not."""
+    marked = F.lit(False) if content is None else path.rlike(DOCUMENT_PATH) & content.rlike(SENSITIVE_TEXT)
+    return F.when(path.rlike(SENSITIVE_PATH), "path").when(marked, "content")
+
+
 def slug(text: Column) -> Column:
     """Lower case, everything but letters and digits as single hyphens, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")

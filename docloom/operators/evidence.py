@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.running import running
 from docloom.functions.stats import wilson
-from docloom.functions.text import clip, language, tidy_path
-from docloom.operators.pages import SECRET_PATH
+from docloom.functions.text import DOCUMENT_PATH, SENSITIVE_PATH, SENSITIVE_TEXT, clip, language, sensitive, tidy_path
 from docloom.session import table
 
 #: Characters of source text that a page's unit, or a record of one text, carries; ``None`` for no limit.
@@ -33,10 +32,12 @@ def newest_files(units: DataFrame, *values: Column) -> DataFrame:
 def page_files(units: DataFrame, budget: int | None = BUDGET) -> DataFrame:
     """Files of each page that a commit touches: one row per file with its state (changed, removed, same), its place
     (changed ones first, then by delivery), its length and how much of it fits the page's budget. A page is a
-    repository's top folder; files that hold secrets are left out, pages without a change too."""
+    repository's top folder; sensitive files are left out, pages without a change too."""
     state = F.when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").otherwise("changed")
-    files = newest_files(units, state.alias("state"), F.coalesce(F.length("after"), F.lit(0)).cast("long").alias("chars"))
-    files = files.where(~F.col("path").rlike("^" + SECRET_PATH + "$"))
+    path = tidy_path(F.col("filePath"))
+    hidden = F.coalesce(sensitive(path, F.col("after")), sensitive(path, F.col("before")))  # marks count on both sides
+    files = newest_files(units, state.alias("state"), hidden.alias("hidden"), F.coalesce(F.length("after"), F.lit(0)).cast("long").alias("chars"))
+    files = files.where("hidden is null").drop("hidden")
     files = files.withColumn("page", F.concat(F.when(F.instr("path", "/") > 1, F.substring_index("path", "/", 1)).otherwise("overview"), F.lit(".md")))
     touched = files.groupBy("repo", "page").agg(F.count_if(F.col("state") != "same").alias("n")).where("n > 0")
     ordered = files.join(touched, ["repo", "page"], "left_semi").withColumn("key", F.col("change_id") + F.when(F.col("state") == "same", F.lit(1 << 50)).otherwise(F.lit(0)))
@@ -48,6 +49,13 @@ def page_unit_files(spark, sf_dir: str) -> DataFrame:
     return page_files(table(spark, sf_dir, "change_units"))
 
 
+def sensitive_units(spark, sf_dir: str) -> DataFrame:
+    """Newest code files that change detection must not see, and why."""
+    path = tidy_path(F.col("filePath"))
+    why = F.coalesce(sensitive(path, F.col("after")), sensitive(path, F.col("before")))
+    return newest_files(table(spark, sf_dir, "change_units"), why.alias("reason")).where("reason is not null").select("repo", "path", "reason")
+
+
 def page_units(spark, sf_dir: str) -> DataFrame:
     """One row per touched page: its files by state, and the characters in and beyond its budget."""
     totals = page_files(table(spark, sf_dir, "change_units")).groupBy("repo", "page").agg(
@@ -178,12 +186,13 @@ def scored_decisions(spark, sf_dir: str, node: str = "verify_draft") -> DataFram
     return table(spark, sf_dir, "decisions").select("id", "run_id", score.alias("score")).where("score is not null").join(runs, "run_id", "left_semi").select("id", "run_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (page_unit_files, page_units, recorded_sources, recorded_documents, language_sizes, manifest_facts, page_spend, segment_outcomes, action_order, recent_stages, scored_decisions)}
+QUERIES = {f.__name__: f for f in (page_unit_files, page_units, sensitive_units, recorded_sources, recorded_documents, language_sizes, manifest_facts, page_spend, segment_outcomes, action_order, recent_stages, scored_decisions)}
 
 _PATH = r"regexp_replace(regexp_replace(trim(filePath), '\\', '/', 'g'), '^(\./)+', '')"
 _NEWEST = f"SELECT * FROM (SELECT repo, {_PATH} AS path, change_id, before, after, row_number() OVER (PARTITION BY repo, {_PATH} ORDER BY change_id DESC) AS r FROM change_units WHERE kind = 'code' AND repo IS NOT NULL) WHERE r = 1 AND path <> ''"
+_hidden = f"CASE WHEN regexp_matches(path, '{SENSITIVE_PATH}') THEN 'path' WHEN regexp_matches(path, '{DOCUMENT_PATH}') AND (coalesce(regexp_matches(after, '{SENSITIVE_TEXT}'), false) OR coalesce(regexp_matches(before, '{SENSITIVE_TEXT}'), false)) THEN 'content' END"
 _FILES = f"""WITH f AS (SELECT repo, CASE WHEN instr(path, '/') > 1 THEN split_part(path, '/', 1) ELSE 'overview' END || '.md' AS page, path, change_id, CASE WHEN after IS NULL THEN 'removed' WHEN before = after THEN 'same' ELSE 'changed' END AS state, coalesce(length(after), 0) AS chars
-        FROM ({_NEWEST}) WHERE NOT regexp_full_match(path, '{SECRET_PATH}')),
+        FROM ({_NEWEST}) WHERE {_hidden} IS NULL),
         t AS (SELECT *, count(*) FILTER (WHERE state <> 'same') OVER (PARTITION BY repo, page) AS touched FROM f),
         w AS (SELECT *, row_number() OVER o AS place, sum(chars) OVER o - chars AS used FROM t WHERE touched > 0 WINDOW o AS (PARTITION BY repo, page ORDER BY state = 'same', change_id ROWS UNBOUNDED PRECEDING))
         SELECT repo, page, path, state, place, chars, CAST(greatest(0, least(chars, {BUDGET} - used)) AS BIGINT) AS kept FROM w"""
@@ -193,6 +202,7 @@ _LANGUAGE = "CASE x WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'js
 _quoted = lambda p: p.replace("'", "''")
 SQL = {
     "page_unit_files": _FILES,
+    "sensitive_units": f"SELECT repo, path, reason FROM (SELECT repo, path, {_hidden} AS reason FROM ({_NEWEST})) WHERE reason IS NOT NULL",
     "page_units": f"SELECT repo, page, count(*) AS files, count(*) FILTER (WHERE state = 'changed') AS changed, count(*) FILTER (WHERE state = 'removed') AS removed, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(chars) - sum(kept) AS BIGINT) AS dropped FROM ({_FILES}) GROUP BY 1, 2",
     "recorded_sources": rf"""WITH u AS (SELECT change_id, after, list_transform(changedFiles, lambda c: trim(c)) AS c, string_split(chr(10) || after, chr(10) || '{FILE_LINE}') AS b FROM change_units WHERE after <> ''),
         p AS (SELECT change_id, after, c, len(b) AS k, unnest(b) AS t, generate_subscripts(b, 1) AS i FROM u),

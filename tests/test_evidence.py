@@ -108,3 +108,15 @@ def test_joint_scope_and_present(spark):
     df = spark.createDataFrame([("x", 1.0), ("", float("nan")), (None, None)], "s string, d double")
     got = df.select(text.present(df.s).alias("s"), text.present(df.d, True).alias("d")).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]
+
+
+def test_sensitive(spark):
+    files = [
+        (".env", None, "path"), ("a/.env.local", "", "path"), ("k/server.pem", None, "path"), ("secrets/a.txt", None, "path"), ("x/credentials.json", None, "path"),
+        ("features/credentials/data.ts", "do not distribute", None), ("notes.md", "Classification: team RESTRICTED\n", "content"), ("notes.md", "classification:\nrestricted", None),
+        ("a.csv", "For internal use only.", "content"), ("a.txt", None, None), (None, "do not distribute", None), ("", "", None),
+    ]
+    df = spark.createDataFrame([(p, c) for p, c, _ in files], "path string, content string")
+    assert [r[0] for r in df.select(text.sensitive(df.path, df.content)).collect()] == [w for *_, w in files]
+    marked = [unit(1, "src/plan.json", "{}", '{"x": "strictly confidential"}'), unit(2, "src/a.py", "strictly confidential", "b")]
+    assert rows(evidence.page_files(spark.createDataFrame(marked, UNIT)), "path") == [("src/a.py",)]
